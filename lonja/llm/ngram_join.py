@@ -183,11 +183,11 @@ def divide_skip(query: np.ndarray, members: list[np.ndarray]) -> list[int]:
 
 
 def _search(group: pd.DataFrame) -> pd.DataFrame:
-    """One query (its row has no member) over one block of members."""
-    own = group["member"].isna()
+    """One query (in its own row it is the member too) over one block of members."""
+    own = group["member"] == group["query"]
     query, rest = np.frombuffer(group.loc[own, "shingles"].iloc[0], np.uint64), group[~own]
     found = divide_skip(query, [np.frombuffer(x, np.uint64) for x in rest["shingles"]])
-    hits = rest["member"].iloc[found].astype("int64").to_numpy()
+    hits = rest["member"].to_numpy()[found]
     return pd.DataFrame({"src": np.full(len(hits), group["query"].iloc[0], np.int64), "dst": hits})
 
 
@@ -197,7 +197,7 @@ def _verified(candidates: DataFrame, sets: DataFrame, block: int = 256) -> DataF
     dealt = candidates.join(counted, "query").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks"))).select("query", "member", "block")
     members = dealt.join(sets.withColumnRenamed("node", "member"), "member").select("query", "block", "member", "shingles")
     queries = dealt.select("query", "block").distinct().join(sets.withColumnRenamed("node", "query"), "query")
-    queries = queries.select("query", "block", F.lit(None).cast("long").alias("member"), "shingles")
+    queries = queries.select("query", "block", F.col("query").alias("member"), "shingles")
     return members.unionByName(queries).groupBy("query", "block").applyInPandas(_search, "src long, dst long")
 
 
