@@ -67,7 +67,7 @@ def _first_pass(n: int, bits: int):
         counts, shift = np.zeros(1 << bits, np.uint16), np.uint64(64 - bits)
         for batch in batches:
             for part in _pieces(batch):
-                sets = list(shingle_sets(part.column(1).to_pylist(), n))
+                sets = list(shingle_sets(part.column(1), n))
                 sizes = [len(s) for s in sets]
                 if sum(sizes):
                     found, times = np.unique(np.concatenate(sets) >> shift, return_counts=True)
@@ -118,7 +118,7 @@ def _short_lists(n: int, bits: int, frequent):
         for batch in batches:
             for part in _pieces(batch):
                 nodes, sizes, lists = [], [], []
-                for s in shingle_sets(part.column(0).to_pylist(), n):
+                for s in shingle_sets(part.column(0), n):
                     if len(s):
                         bucket = s >> shift
                         late = (table[bucket >> np.uint64(3)] >> (bucket & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -136,7 +136,7 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _pieces(batch):
-                sets = [s for s in shingle_sets(part.column(0).to_pylist(), n) if len(s)]
+                sets = [s for s in shingle_sets(part.column(0), n) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
     return run
@@ -239,11 +239,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     stars = shared.where((F.col("node") != F.col("first.node")) & may_link(F.col("first.n"), F.col("n"), F.col("first.pos"), F.col("pos")))
     stars = materialize(stars.select(F.col("first.node").alias("query"), F.col("node").alias("member")).distinct(), "star-candidates")
-    everyone = shared.select("node").distinct()
-    where = ids.join(everyone, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    sets = _among(rows.where("doc_id IS NOT NULL"), "doc_id", where).select("text").mapInArrow(_sets(n), "node long, shingles binary")
-    sets = materialize(sets.join(everyone, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
-    links = materialize(_verified(stars, sets), "star-links")
+
+    def links_among(candidates, name):
+        """Links of (query, member) candidates; only their texts are hashed again."""
+        ends = candidates.select(F.col("query").alias("node")).union(candidates.select("member")).distinct()
+        where = ids.join(ends, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+        sets = _among(rows.where("doc_id IS NOT NULL"), "doc_id", where).select("text").mapInArrow(_sets(n), "node long, shingles binary")
+        sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+        return materialize(_verified(candidates, sets), name)
+
+    links = links_among(stars, "star-links")
     parts = connected_components(links)
 
     # Lists that still hold several components: compare the nodes of different components.
@@ -254,7 +259,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") < F.col("b.component")) & may_link(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")))
     pairs = pairs.select(F.least("a.node", "b.node").alias("query"), F.greatest("a.node", "b.node").alias("member")).distinct()
     pairs = materialize(pairs.join(stars, ["query", "member"], "left_anti"), "cross-candidates")
-    links = materialize(links.unionByName(_verified(pairs, sets)), "links")
+    links = links.unionByName(links_among(pairs, "cross-links"))
     parts = connected_components(links)
 
     placed = ids.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
