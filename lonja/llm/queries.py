@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lonja.llm.common import read
+from lonja.llm.embed_dedup import cosine_components
 from lonja.llm.ngram_join import jaccard_components
+from lonja.llm.warc import page_captures
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard}
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_components(read(spark, sf_dir, "embeddings"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_captures(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_embedding_dedup": op2_embedding_dedup, "op3_warc": op3_warc}
 ORACLE_SQL: dict[str, str] = {}
