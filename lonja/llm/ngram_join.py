@@ -8,7 +8,8 @@ Plan, with no cap anywhere and no step that emits the pairs of a group:
    ceil(0.8 n), so it must also occur in one of the first n - ceil(0.8 n) + 1 lists: the short lists.
 3. In each short list every node is compared with the list's first node only; components follow. Then only pairs of
    nodes of *different* components that share a short list are compared. Components therefore are those of all links.
-4. A comparison is a T-occurrence search of one query node over a block of members: inverted lists of the query's
+4. Pairs whose shingles are spread too differently over the ranges of the hash cannot reach the overlap and go.
+5. A comparison is a T-occurrence search of one query node over a block of members: inverted lists of the query's
    shingles, the short ones merged on a heap, the long ones probed by binary search (DivideSkip).
 
 Sets are held as 64-bit hashes; two different shingles of a compared pair share one with a probability near
@@ -62,6 +63,27 @@ def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def _spread(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of 256 ranges of the hash, in one, two or four bytes each."""
+    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256)
+    return counts.astype(np.uint8 if counts.max() < 1 << 8 else np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _counts(spread: bytes) -> np.ndarray:
+    return np.frombuffer(spread, {256: np.uint8, 512: np.uint16, 1024: np.uint32}[len(spread)]).astype(np.int64)
+
+
+def _may_overlap(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Drops pairs whose spreads prove too small an overlap: it is at most the sum of the ranges' smaller counts."""
+    for pdf in frames:
+        keep = []
+        for at in range(0, len(pdf), 1024):
+            part = pdf.iloc[at : at + 1024]
+            a, b = (np.stack([_counts(x) for x in part[c]]) for c in ("a", "b"))
+            keep.append(np.minimum(a, b).sum(1) >= overlap_needed(a.sum(1), b.sum(1)))
+        yield pdf.loc[np.concatenate(keep), ["query", "member"]] if keep else pdf[["query", "member"]]
+
+
 def _first_pass(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, shift = np.zeros(1 << bits, np.uint16), np.uint64(64 - bits)
@@ -117,17 +139,18 @@ def _short_lists(n: int, bits: int, frequent):
         table, shift = frequent.value, np.uint64(64 - bits)
         for batch in batches:
             for part in _pieces(batch):
-                nodes, sizes, lists = [], [], []
+                nodes, sizes, lists, spreads = [], [], [], []
                 for s in shingle_sets(part.column(0), n):
                     if len(s):
                         bucket = s >> shift
                         late = (table[bucket >> np.uint64(3)] >> (bucket & np.uint64(7)).astype(np.uint8)) & 1 == 1
                         nodes.append(_node(s))
                         sizes.append(len(s))
+                        spreads.append(_spread(s))
                         lists.append(np.concatenate((s[~late], s[late]))[: len(s) - need(len(s)) + 1].view(np.int64))
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 flat = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["node", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(spreads, pa.binary())], ["node", "n", "shingles", "spread"])
 
     return run
 
@@ -226,7 +249,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = ids.agg(F.sum("n_shingles")).first()[0] or 0
     frequent = spark.sparkContext.broadcast(_frequent(passed.where("block IS NOT NULL").select("block", "counts"), bits, total))
     texts = rows.where("doc_id IS NOT NULL").select("text")
-    lists = texts.mapInArrow(_short_lists(n, bits, frequent), "node long, n int, shingles array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    lists = texts.mapInArrow(_short_lists(n, bits, frequent), "node long, n int, shingles array<long>, spread binary")
+    lists = materialize(lists.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "shingles", "spread"))), "lists")
     postings = lists.select("node", "n", F.posexplode("shingles").alias("pos", "shingle"))
     of_list = Window.partitionBy("shingle")
     postings = postings.withColumn("first", F.first(F.struct("node", "n", "pos")).over(of_list.orderBy("node"))).withColumn("many", F.count("*").over(of_list) > 1)
@@ -241,7 +265,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = materialize(stars.select(F.col("first.node").alias("query"), F.col("node").alias("member")).distinct(), "star-candidates")
 
     def links_among(candidates, name):
-        """Links of (query, member) candidates; only their texts are hashed again."""
+        """Links of (query, member) candidates; only the texts that may link are hashed again."""
+        spreads = lists.select("node", "spread")
+        pairs = candidates.join(spreads.toDF("query", "a"), "query").join(spreads.toDF("member", "b"), "member").select("query", "member", "a", "b")
+        candidates = materialize(pairs.mapInPandas(_may_overlap, "query long, member long"), name + "-pairs")
         ends = candidates.select(F.col("query").alias("node")).union(candidates.select("member")).distinct()
         where = ids.join(ends, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
         sets = _among(rows.where("doc_id IS NOT NULL"), "doc_id", where).select("text").mapInArrow(_sets(n), "node long, shingles binary")
