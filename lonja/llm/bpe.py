@@ -138,7 +138,7 @@ def pieces(spark: SparkSession, spec: dict) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"id": list(table), "piece": list(table.values())}), "id int, piece string")
 
 
-def _assemble(_key, docs: pa.Table, vocabulary: pa.Table) -> Iterator[pa.RecordBatch]:
+def _assemble(docs: pa.Table, vocabulary: pa.Table) -> Iterator[pa.Table]:
     """Ids and decoded text of a chunk's documents, from its words' ids and pieces."""
     vocabulary = vocabulary.sort_by("pos")
     lists = vocabulary["ids"].combine_chunks()
@@ -169,8 +169,8 @@ def _batch(columns: list[list]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_tokens", "ids", "decoded"])
 
 
-def _whole(key, docs: pa.Table, vocabulary: pa.Table) -> pa.Table:
-    return pa.concat_tables(list(_assemble(key, docs, vocabulary)))
+def _whole(docs: pa.Table, vocabulary: pa.Table) -> pa.Table:
+    return pa.concat_tables(list(_assemble(docs, vocabulary)))
 
 
 def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,6 +193,6 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     distinct = words.select("word").distinct().withColumn("ids", _encoder(spec)("word"))
     spelt = distinct.select("word", "ids", F.posexplode("ids").alias("k", "id")).join(F.broadcast(pieces(spark, json.loads(spec))), "id")
     spelt = spelt.groupBy("word").agg(F.first("ids").alias("ids"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), " ").alias("decoded"))
-    vocabulary = words.join(spelt, "word").select("chunk", "pos", "ids", "decoded")
-    done = stored.where("words IS NULL").select("chunk", "doc_id", "codes").groupBy("chunk").cogroup(vocabulary.groupBy("chunk")).applyInArrow(_whole, "doc_id long, n_tokens long, ids binary, decoded string")
+    vocabulary = words.join(spelt, "word").select(F.col("chunk").alias("of_chunk"), "pos", "ids", "decoded")
+    done = stored.where("words IS NULL").select("chunk", "doc_id", "codes").groupBy("chunk").cogroup(vocabulary.groupBy("of_chunk")).applyInArrow(_whole, "doc_id long, n_tokens long, ids binary, decoded string")
     return done.withColumnRenamed("doc_id", id_col)

@@ -32,7 +32,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     def once(x: np.ndarray, at: np.ndarray) -> np.ndarray:
         left, right = x >> half[at], x & mask[at]
         for k in range(4):
-            h = (right + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) ^ key[at]
+            h = (right + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) ^ key[at]
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
             left, right = right, left ^ ((h ^ (h >> np.uint64(32))) & mask[at])
