@@ -6,7 +6,7 @@ Plan, with no cap anywhere and no step that emits the pairs of a group:
    mergeable table of counters (fixed number of buckets). Buckets over a threshold are *frequent*.
 2. Every node lists its shingles in one global order, frequent ones last. Of n shingles a partner shares at least
    ceil(0.8 n), so it must also occur in one of the first n - ceil(0.8 n) + 1 lists: the short lists.
-3. In each short list every node is compared with the list's first node only; components follow. Then only pairs of
+3. In each short list every node is compared with the list's first nodes only; components follow. Then only pairs of
    nodes of *different* components that share a short list are compared. Components therefore are those of all links.
 4. Pairs whose shingles are spread too differently over the ranges of the hash cannot reach the overlap and go.
 5. A comparison is a T-occurrence search of one query node over a block of members: inverted lists of the query's
@@ -37,6 +37,8 @@ from lonja.llm.shingles import shingle_sets
 #: Jaccard threshold as a fraction of integers: 100 * intersection >= 80 * union.
 SIMILARITY = (80, 100)
 _BLOCK = 1 << 14
+#: First nodes of a short list with which all its nodes are compared before components are formed.
+PIVOTS = 4
 
 
 def need(n: int, num: int = SIMILARITY[0], den: int = SIMILARITY[1]) -> int:
@@ -73,6 +75,12 @@ def _counts(spread: bytes) -> np.ndarray:
     return np.frombuffer(spread, {256: np.uint8, 512: np.uint16, 1024: np.uint32}[len(spread)]).astype(np.int64)
 
 
+def _coarse(shingles: np.ndarray) -> list[int] | None:
+    """Counts in 128 ranges, for comparison inside a join; none where one does not fit into a byte."""
+    counts = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=128)
+    return counts.tolist() if counts.max() < 128 else None
+
+
 def _may_overlap(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Drops pairs whose spreads prove too small an overlap: it is at most the sum of the ranges' smaller counts."""
     for pdf in frames:
@@ -133,24 +141,33 @@ def _frequent(sketches: DataFrame, bits: int, n_shingles: int) -> np.ndarray:
 
 
 def _short_lists(n: int, bits: int, frequent):
-    """For each text: node, size, and its shingles in the short lists, in the global order."""
+    """The short lists' entries of each text: shingle, node, its size, and the shingle's place in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, shift = frequent.value, np.uint64(64 - bits)
         for batch in batches:
             for part in _pieces(batch):
-                nodes, sizes, lists, spreads = [], [], [], []
+                nodes, sizes, lists = [], [], [np.empty(0, np.uint64)]
                 for s in shingle_sets(part.column(0), n):
                     if len(s):
                         bucket = s >> shift
                         late = (table[bucket >> np.uint64(3)] >> (bucket & np.uint64(7)).astype(np.uint8)) & 1 == 1
                         nodes.append(_node(s))
                         sizes.append(len(s))
-                        spreads.append(_spread(s))
-                        lists.append(np.concatenate((s[~late], s[late]))[: len(s) - need(len(s)) + 1].view(np.int64))
-                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                flat = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(spreads, pa.binary())], ["node", "n", "shingles", "spread"])
+                        lists.append(np.concatenate((s[~late], s[late]))[: len(s) - need(len(s)) + 1])
+                lengths = [len(x) for x in lists[1:]]
+                columns = np.concatenate(lists).view(np.int64), np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths), np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in lengths)])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "n", "pos"])
+
+    return run
+
+
+def _spreads(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _pieces(batch):
+                sets = [s for s in shingle_sets(part.column(0), n) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([_spread(s) for s in sets], pa.binary()), pa.array([_coarse(s) for s in sets], pa.list_(pa.int8()))], ["node", "spread", "coarse"])
 
     return run
 
@@ -225,8 +242,8 @@ def _verified(candidates: DataFrame, sets: DataFrame, block: int = 256) -> DataF
 
 
 def _among(docs: DataFrame, key: str, keys: DataFrame, bits: int = 24) -> DataFrame:
-    """Rows of docs whose key may be among keys: a bitmap filter of fixed size (2 MB), broadcast; it lets some others
-    pass, which later joins drop, and no member is lost."""
+    """Rows of docs whose key may be among keys: a bitmap filter of fixed size (2^bits bits, 2 MB), broadcast; it lets
+    some others pass, which later steps drop, and no member is lost."""
     place = F.pmod(F.xxhash64(key), F.lit(1 << bits)) + 1
     bitmaps = keys.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bitmap"))
     marked = docs.withColumn("_p", place).withColumn("bucket", F.expr("bitmap_bucket_number(_p)")).withColumn("_p", F.expr("bitmap_bit_position(_p)"))
@@ -248,30 +265,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = passed.where("block IS NULL").select("doc_id", "n_shingles", "node")
     total = ids.agg(F.sum("n_shingles")).first()[0] or 0
     frequent = spark.sparkContext.broadcast(_frequent(passed.where("block IS NOT NULL").select("block", "counts"), bits, total))
-    texts = rows.where("doc_id IS NOT NULL").select("text")
-    lists = texts.mapInArrow(_short_lists(n, bits, frequent), "node long, n int, shingles array<long>, spread binary")
-    lists = materialize(lists.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "shingles", "spread"))), "lists")
-    postings = lists.select("node", "n", F.posexplode("shingles").alias("pos", "shingle"))
+    # One text of each node; the few others that a bitmap lets pass fall to the distinct below.
+    heads = ids.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    texts = _among(rows.where("doc_id IS NOT NULL"), "doc_id", heads.where("doc_id IS NOT NULL").select("doc_id")).select("text")
+    postings = texts.mapInArrow(_short_lists(n, bits, frequent), "shingle long, node long, n int, pos int")
     of_list = Window.partitionBy("shingle")
-    postings = postings.withColumn("first", F.first(F.struct("node", "n", "pos")).over(of_list.orderBy("node"))).withColumn("many", F.count("*").over(of_list) > 1)
-    shared = materialize(postings.where("many").select("shingle", "node", "n", "pos", "first"), "short-lists")
+    before = of_list.orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    entry = F.struct("node", "n", "pos")
+    pivots = F.array(*(F.nth_value(entry, k).over(before) for k in range(1, PIVOTS + 1))).alias("pivots")
+    ends = [f(F.col("node")).over(of_list).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"))]
+    shared = postings.select("shingle", "node", "n", "pos", pivots, *ends).where("lo != hi").drop("lo", "hi").distinct()
+    shared = materialize(shared, "short-lists")
 
     def may_link(a_n, b_n, a_pos, b_pos):
-        """Sizes and places allow the required overlap."""
+        """Sizes and places allow the required overlap if this is the first shingle the two share; if it is not, they
+        meet in an earlier list."""
         t = F.ceil((a_n + b_n) * SIMILARITY[0] / sum(SIMILARITY))
-        return (a_n * SIMILARITY[1] >= b_n * SIMILARITY[0]) & (b_n * SIMILARITY[1] >= a_n * SIMILARITY[0]) & (F.least(a_pos, b_pos) + 1 + F.least(a_n - a_pos - 1, b_n - b_pos - 1) >= t)
+        return (a_n * SIMILARITY[1] >= b_n * SIMILARITY[0]) & (b_n * SIMILARITY[1] >= a_n * SIMILARITY[0]) & (F.least(a_n - a_pos, b_n - b_pos) >= t)
 
-    stars = shared.where((F.col("node") != F.col("first.node")) & may_link(F.col("first.n"), F.col("n"), F.col("first.pos"), F.col("pos")))
+    first = F.explode(F.filter("pivots", lambda p: p.isNotNull())).alias("first")
+    stars = shared.select("node", "n", "pos", first).where((F.col("node") != F.col("first.node")) & may_link(F.col("first.n"), F.col("n"), F.col("first.pos"), F.col("pos")))
     stars = materialize(stars.select(F.col("first.node").alias("query"), F.col("node").alias("member")).distinct(), "star-candidates")
 
+    def texts_of(nodes):
+        """A text of each of these nodes, and a few others."""
+        return _among(rows.where("doc_id IS NOT NULL"), "doc_id", heads.join(nodes, "node").select("doc_id")).select("text")
+
+    spreads = texts_of(shared.select("node").distinct()).mapInArrow(_spreads(n), "node long, spread binary, coarse array<tinyint>")
+    spreads = materialize(spreads.groupBy("node").agg(F.first("spread").alias("spread"), F.first("coarse").alias("coarse")), "spreads")
+
     def links_among(candidates, name):
         """Links of (query, member) candidates; only the texts that may link are hashed again."""
-        spreads = lists.select("node", "spread")
-        pairs = candidates.join(spreads.toDF("query", "a"), "query").join(spreads.toDF("member", "b"), "member").select("query", "member", "a", "b")
+        pairs = candidates.join(spreads.select(F.col("node").alias("query"), F.col("spread").alias("a")), "query").join(spreads.select(F.col("node").alias("member"), F.col("spread").alias("b")), "member").select("query", "member", "a", "b")
         candidates = materialize(pairs.mapInPandas(_may_overlap, "query long, member long"), name + "-pairs")
         ends = candidates.select(F.col("query").alias("node")).union(candidates.select("member")).distinct()
-        where = ids.join(ends, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-        sets = _among(rows.where("doc_id IS NOT NULL"), "doc_id", where).select("text").mapInArrow(_sets(n), "node long, shingles binary")
+        sets = texts_of(ends).mapInArrow(_sets(n), "node long, shingles binary")
         sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
         return materialize(_verified(candidates, sets), name)
 
@@ -281,9 +309,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Lists that still hold several components: compare the nodes of different components.
     placed = shared.join(parts, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
-    left = materialize(placed.join(mixed, "shingle", "left_semi"), "mixed-lists")
+    left = materialize(placed.join(mixed, "shingle", "left_semi").join(spreads.select("node", "coarse"), "node"), "mixed-lists")
     a, b = left.alias("a"), left.alias("b")
-    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") < F.col("b.component")) & may_link(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")))
+    common = F.aggregate(F.zip_with("a.coarse", "b.coarse", F.least), F.lit(0), lambda total, x: total + x)
+    enough = common >= F.ceil((F.col("a.n") + F.col("b.n")) * SIMILARITY[0] / sum(SIMILARITY))
+    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") < F.col("b.component")) & may_link(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")) & (F.col("a.coarse").isNull() | F.col("b.coarse").isNull() | enough))
     pairs = pairs.select(F.least("a.node", "b.node").alias("query"), F.greatest("a.node", "b.node").alias("member")).distinct()
     pairs = materialize(pairs.join(stars, ["query", "member"], "left_anti"), "cross-candidates")
     links = links.unionByName(links_among(pairs, "cross-links"))
