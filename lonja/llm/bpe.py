@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lonja.llm.common import shared_dir
 
 #: Words and distinct words of a chunk at most, and text bytes of one output batch (a longer text stands alone).
-CHUNK_WORDS, CHUNK_DISTINCT, BATCH_BYTES = 6_000_000, 600_000, 8 << 20
+CHUNK_WORDS, CHUNK_DISTINCT, BATCH_BYTES = 2_000_000, 250_000, 8 << 20
 
 
 def word_splitter(spec: dict) -> Callable[[str], list[str]]:
@@ -129,7 +129,8 @@ def _encoder(spec):
         for words in series:
             yield pd.Series([e.ids for e in tokenizer.encode_batch(words.tolist(), add_special_tokens=False)])
 
-    return F.pandas_udf(run, "array<int>")
+    # Not to be moved below the distinct by a filter on its result: it would run for every word of every chunk.
+    return F.pandas_udf(run, "array<int>").asNondeterministic()
 
 
 def pieces(spark: SparkSession, spec: dict) -> DataFrame:
