@@ -311,7 +311,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
     left = materialize(placed.join(mixed, "shingle", "left_semi").join(spreads.select("node", "coarse"), "node"), "mixed-lists")
     a, b = left.alias("a"), left.alias("b")
-    common = F.aggregate(F.zip_with("a.coarse", "b.coarse", F.least), F.lit(0), lambda total, x: total + x)
+    common = F.aggregate(F.zip_with("a.coarse", "b.coarse", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda total, x: total + x)
     enough = common >= F.ceil((F.col("a.n") + F.col("b.n")) * SIMILARITY[0] / sum(SIMILARITY))
     pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") < F.col("b.component")) & may_link(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")) & (F.col("a.coarse").isNull() | F.col("b.coarse").isNull() | enough))
     pairs = pairs.select(F.least("a.node", "b.node").alias("query"), F.greatest("a.node", "b.node").alias("member")).distinct()
