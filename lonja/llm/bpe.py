@@ -3,10 +3,10 @@
 1. Every task splits the words of its texts once and packs them, chunk by chunk (a bounded number of words), into a
    word list and, for each document, the positions of its words in that list. Chunks are stored as a bucketed table in
    the shared folder.
-2. The words of all chunks meet in one exchange by word; each distinct word is encoded once. Its ids are joined with the
-   vocabulary's id-to-piece table for decoding.
-3. Ids and pieces return to their chunks by (chunk, position); documents are put together there. The stored side is
-   bucketed by chunk and is not shuffled again.
+2. The words of all chunks meet in one exchange by word; each distinct word is encoded once.
+3. The ids return to their chunks by (chunk, position); documents are put together there, and decoded by joining their
+   ids with the id-to-piece table, which is shipped to the tasks. The stored side is bucketed by chunk and is not
+   shuffled again.
 
 The tokenizer is a file of the ``tokenizers`` library: NFC, white-space replacement, lower case, split by a pattern,
 BPE over bytes. Its text is shipped to the tasks (a vocabulary has a fixed size).
@@ -15,6 +15,7 @@ BPE over bytes. Its text is shipped to the tasks (a vocabulary has a fixed size)
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 import uuid
@@ -25,13 +26,13 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lonja.llm.common import shared_dir
 
 #: Words and distinct words of a chunk at most, and text bytes of one output batch (a longer text stands alone).
-CHUNK_WORDS, CHUNK_DISTINCT, BATCH_BYTES = 2_000_000, 250_000, 8 << 20
+CHUNK_WORDS, CHUNK_DISTINCT, BATCH_BYTES = 4_000_000, 450_000, 4 << 20
 
 
 def word_splitter(spec: dict) -> Callable[[str], list[str]]:
@@ -113,56 +114,65 @@ def _chunked(spec: str):
                 if n >= CHUNK_WORDS or len(seen) >= CHUNK_DISTINCT:
                     yield close()
                     seen, n, chunk = _Positions(), 0, uuid.uuid4().int >> 65
-        if len(seen) or n == 0:
-            yield close()
+        yield close()
+        del seen
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _encoder(spec):
+def _encoder(spec: str, wide: bool):
+    """Ids of each word, packed in two bytes each, four with a large vocabulary."""
+
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for a task
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.no_truncation()
         tokenizer.no_padding()
         for words in series:
-            yield pd.Series([e.ids for e in tokenizer.encode_batch(words.tolist(), add_special_tokens=False)])
+            coded = (e.ids for at in range(0, len(words), 1000) for e in tokenizer.encode_batch(words[at : at + 1000].tolist(), add_special_tokens=False))
+            yield pd.Series([np.array(ids, np.uint32 if wide else np.uint16).tobytes() for ids in coded])
 
     # Not to be moved below the distinct by a filter on its result: it would run for every word of every chunk.
-    return F.pandas_udf(run, "array<int>").asNondeterministic()
+    return F.pandas_udf(run, "binary").asNondeterministic()
 
 
-def pieces(spark: SparkSession, spec: dict) -> DataFrame:
+def pieces(spec: dict) -> list[str]:
     """The id-to-piece table of a tokenizer; its size is that of the vocabulary."""
     table = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-    return spark.createDataFrame(pd.DataFrame({"id": list(table), "piece": list(table.values())}), "id int, piece string")
-
-
-def _assemble(docs: pa.Table, vocabulary: pa.Table) -> Iterator[pa.Table]:
-    """Ids and decoded text of a chunk's documents, from its words' ids and pieces."""
-    vocabulary = vocabulary.sort_by("pos")
-    lists = vocabulary["ids"].combine_chunks()
-    flat = np.asarray(lists.flatten()).astype(np.uint32)
-    lengths = np.asarray(lists.value_lengths()).astype(np.int64)
-    begin = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    words = vocabulary["decoded"].to_pylist()
-    out: list[list] = [[], [], [], []]
-    size = 0
-    for doc_id, codes in zip(docs["doc_id"].to_pylist(), docs["codes"]):
-        if (codes := codes.as_py()) is None:
-            continue
-        codes = _unpack(codes)
-        n = lengths[codes]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        for column, value in zip(out, (doc_id, len(ids), ids.tobytes(), " ".join(map(words.__getitem__, codes.tolist())))):
-            column.append(value)
-        size += len(out[2][-1]) + len(out[3][-1])
-        if size >= BATCH_BYTES:
-            yield _batch(out)
-            out, size = [[], [], [], []], 0
-    yield _batch(out)
+    return [table.get(k, "") for k in range(max(table) + 1)]
+
+
+def _assembler(table, wide: bool):
+    def run(docs: pa.Table, vocabulary: pa.Table) -> pa.Table:
+        """Ids and decoded text of a chunk's documents, from its words' ids."""
+        piece = table.value
+        vocabulary = vocabulary.sort_by("pos")
+        packed = vocabulary["ids"].combine_chunks()
+        packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
+        size = 4 if wide else 2
+        ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64) // size
+        flat = np.frombuffer(packed.buffers()[2], np.uint32 if wide else np.uint16) if len(packed) and ends[-1] else np.empty(0, np.uint16)
+        begin, lengths = ends[:-1], np.diff(ends)
+        out, parts, held = [[], [], [], []], [], 0
+        for doc_id, codes in zip(docs["doc_id"].to_pylist(), docs["codes"]):
+            if (codes := codes.as_py()) is None:
+                continue
+            codes = _unpack(codes)
+            n = lengths[codes]
+            upto = np.cumsum(n)
+            ids = flat[np.repeat(begin[codes] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+            for column, value in zip(out, (doc_id, len(ids), ids.astype("<u4").tobytes(), " ".join(map(piece.__getitem__, ids.tolist())))):
+                column.append(value)
+            held += len(out[2][-1]) + len(out[3][-1])
+            if held >= BATCH_BYTES:
+                parts.append(_batch(out))
+                out, held = [[], [], [], []], 0
+        return pa.concat_tables([*parts, _batch(out)])
+
+    return run
 
 
 def _batch(columns: list[list]) -> pa.Table:
@@ -170,10 +180,6 @@ def _batch(columns: list[list]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_tokens", "ids", "decoded"])
 
 
-def _whole(docs: pa.Table, vocabulary: pa.Table) -> pa.Table:
-    return pa.concat_tables(list(_assemble(docs, vocabulary)))
-
-
 def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids, decoded) of every row: ids as little-endian unsigned 32-bit integers, decoded as the pieces
     joined by spaces, as the library decodes without a decoder.
@@ -191,9 +197,14 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     writer.format("parquet").saveAsTable(name)
     stored = spark.table(name)
     words = stored.where("words IS NOT NULL").select("chunk", F.posexplode("words").alias("pos", "word")).repartition(buckets, "word")
-    distinct = words.select("word").distinct().withColumn("ids", _encoder(spec)("word"))
-    spelt = distinct.select("word", "ids", F.posexplode("ids").alias("k", "id")).join(F.broadcast(pieces(spark, json.loads(spec))), "id")
-    spelt = spelt.groupBy("word").agg(F.first("ids").alias("ids"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), " ").alias("decoded"))
-    vocabulary = words.join(spelt, "word").select(F.col("chunk").alias("of_chunk"), "pos", "ids", "decoded")
-    done = stored.where("words IS NULL").select("chunk", "doc_id", "codes").groupBy("chunk").cogroup(vocabulary.groupBy("of_chunk")).applyInArrow(_whole, "doc_id long, n_tokens long, ids binary, decoded string")
+    parsed = json.loads(spec)
+    table = pieces(parsed)
+    wide = len(table) > 1 << 16
+    # The least place is there so that both sides of the join below read the same exchange.
+    distinct = words.groupBy("word").agg(F.min(F.struct("chunk", "pos")).alias("first")).where("first IS NOT NULL")
+    coded = distinct.select("word", _encoder(spec, wide)("word").alias("ids"))
+    vocabulary = words.join(coded, "word").select(F.col("chunk").alias("of_chunk"), "pos", "ids")
+    texts = stored.where("words IS NULL").select("chunk", "doc_id", "codes")
+    assemble = _assembler(spark.sparkContext.broadcast(table), wide)
+    done = texts.groupBy("chunk").cogroup(vocabulary.groupBy("of_chunk")).applyInArrow(assemble, "doc_id long, n_tokens long, ids binary, decoded string")
     return done.withColumnRenamed("doc_id", id_col)
