@@ -73,10 +73,10 @@ c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)"""
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": f"""
 WITH RECURSIVE w AS (
-  SELECT doc_id AS id, list_filter(string_split(translate(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_SPACES}, '      '), ' '), x -> x <> '') AS w FROM documents
+  SELECT doc_id AS id, list_filter(string_split(translate(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_SPACES}, '      '), ' '), lambda x: x <> '') AS w FROM documents
 ), s AS (
   SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
 ), n AS (SELECT w.id, count(s.s) AS n FROM w LEFT JOIN s ON s.id = w.id GROUP BY w.id),
 p AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id),
 e AS (SELECT p.a, p.b FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b WHERE 100 * i >= 80 * (x.n + y.n - i)),
@@ -85,7 +85,7 @@ SELECT n.id AS doc_id, n.n AS n_shingles, c.component_id FROM n JOIN c ON c.node
 """,
     "op2_embedding_dedup": f"""
 WITH RECURSIVE n AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
-ok AS (SELECT id, label, v, sqrt(list_inner_product(v, v)) AS norm FROM n WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0),
+ok AS (SELECT id, label, v, sqrt(list_inner_product(v, v)) AS norm FROM n WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 e AS (SELECT a.id AS a, b.id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.id <> b.id AND len(a.v) = len(b.v) WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= {COSINE}),
 {_COMPONENTS}
 SELECT n.id AS vec_id, (SELECT count(*) FROM e WHERE e.a = n.id) AS n_links, c.component_id, n.id = c.component_id AS kept FROM n JOIN c ON c.node = n.id
