@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,18 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished jobs now; it waits for garbage collection otherwise,
+    and a chain of stored steps would hold the files of all of them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage, survives lost executors,
     and gives Spark the true size, so that it broadcasts the table only when it is small."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lonja/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    release(df.sparkSession)
+    return out
 
 
 def words(text: Column) -> Column:
