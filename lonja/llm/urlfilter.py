@@ -86,7 +86,7 @@ def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
 def _place(spark: SparkSession, keys: list[str], name: str) -> str:
     """Writes the array of a list on the driver and ships its files; returns their common name."""
     name = f"{name}-{uuid.uuid4().hex}"
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-digests-"), name)
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spark-digests-")), name)
     DigestArray.write([k.encode() for k in keys], path)
     for kind in ("digests", "offsets", "strings"):
         spark.sparkContext.addFile(f"{path}.{kind}")
