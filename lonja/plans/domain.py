@@ -47,6 +47,27 @@ def status_events(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("user_id").alias("record"), F.struct("ts", "event_id").alias("seq"), F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("target"))
 
 
+def imaged(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog with an image key that several rows share, none for every sixth row."""
+    img = F.when(F.col("row_seq") % 6 != 0, F.concat(F.lit("img"), (F.col("row_seq") % 700).cast("string")))
+    return catalog(spark, sf).withColumn("img", img).withColumn("status", F.when(F.col("row_seq") % 13 == 0, "RED").otherwise("GREEN"))
+
+
+def page_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as text items on pages; every third carries a price."""
+    o = _read(spark, sf, "orders")
+    fob = (F.col("o_custkey") % 3).cast("double")
+    y = F.floor(F.col("o_totalprice") % 60) * 15.0
+    return o.select(F.col("o_orderkey").alias("item"), (F.col("o_custkey") % 5).alias("file"), (F.col("o_orderkey") % 20).alias("page"), (F.col("o_custkey") % 30 * 10).cast("double").alias("x"), y.alias("y"), fob.alias("fob"), F.when(F.col("o_orderkey") % 3 == 0, fob).alias("price"))
+
+
+def raw_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog as a price list with foreign headers and gaps."""
+    c = catalog(spark, sf)
+    price = F.when(F.col("row_seq") % 7 == 0, "$31").otherwise(F.concat(F.floor("fob").cast("string"), F.lit(",75")))
+    return c.select(F.col("sku").alias("Código"), F.col("marca").alias("Brand"), F.when(F.col("row_seq") % 10 != 0, F.col("modelo")).alias("Product  Name"), F.col("variante").alias("Color/Variante"), F.when(F.col("row_seq") % 3 != 0, F.col("cat")).alias("Categoría"), price.alias("FOB unit USD"))
+
+
 #: The same shapes in DuckDB.
 SQL_CATALOG = """catalog AS (SELECT 'P-' || lpad(p_partkey::VARCHAR, 8, '0') AS sku, p_brand AS marca, p_name AS modelo, split_part(p_name, ' ', 1) AS variante,
   CASE p_type WHEN 'ECONOMY' THEN 'TECLADO' WHEN 'SMALL' THEN 'MOUSE' WHEN 'MEDIUM' THEN 'HEADSET' WHEN 'PROMO' THEN 'MONITOR' WHEN 'STANDARD' THEN 'SWITCH' ELSE 'OTRO' END AS cat,
@@ -55,3 +76,5 @@ SQL_LINES = SQL_CATALOG + """, lines AS (SELECT l_orderkey AS order_id, l_linenu
 SQL_CART = SQL_CATALOG + """, cart AS (SELECT 'P-' || lpad((c_custkey * 2)::VARCHAR, 8, '0') AS sku, (c_custkey % 5)::DOUBLE AS qty FROM customer)"""
 SQL_RECORDS = """records AS (SELECT o_orderkey AS record, CASE WHEN o_orderstatus = 'F' THEN 'delivered' WHEN o_orderstatus = 'P' THEN 'in_customs' WHEN o_orderkey % 11 = 0 THEN 'cancelled' ELSE 'in_transit' END AS status, o_totalprice AS landed,
   CASE WHEN o_orderkey % 7 <> 0 THEN floor(o_totalprice * (0.8::DOUBLE + (o_orderkey % 5)::DOUBLE / 10::DOUBLE) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE END AS local_price FROM orders)"""
+SQL_IMAGED = SQL_CATALOG + """, imaged AS (SELECT *, CASE WHEN row_seq % 6 <> 0 THEN 'img' || (row_seq % 700) END AS img, CASE WHEN row_seq % 13 = 0 THEN 'RED' ELSE 'GREEN' END AS status FROM catalog)"""
+SQL_ITEMS = """items AS (SELECT *, CASE WHEN item % 3 = 0 THEN fob END AS price FROM (SELECT o_orderkey AS item, o_custkey % 5 AS file, o_orderkey % 20 AS page, (o_custkey % 30 * 10)::DOUBLE AS x, floor(o_totalprice % 60) * 15::DOUBLE AS y, (o_custkey % 3)::DOUBLE AS fob FROM orders))"""

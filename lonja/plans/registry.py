@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lonja.functions import exprs, rules
 from lonja.operators import catalog as cat
-from lonja.operators import costing, quality, search, tracker
+from lonja.operators import costing, images, quality, search, spatial, tracker
 from lonja.plans import domain as d
+from lonja.sources import files, sinks
 
 
 def _r2(x: str) -> str:
@@ -91,6 +92,17 @@ QUERIES = {
     "f4_status_summary": lambda s, sf: quality.status_summary(quality.graded(d.catalog(s, sf))),
     "w2_first_wins": lambda s, sf: cat.first_wins(d.catalog(s, sf).withColumn("fob", F.floor("fob").cast("double"))).select("sku", "row_seq"),
     "x8_search": lambda s, sf: search.search(s.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query"), "text"), search.inverted_index(s.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")),
+    "a6_assignment_metrics": lambda s, sf: images.assignment_metrics(d.imaged(s, sf)),
+    "a12_image_audit": lambda s, sf: images.image_audit(d.imaged(s, sf)),
+    "v11_integrity_gates": lambda s, sf: images.integrity_gates(d.imaged(s, sf)),
+    "w4_row_bounds": lambda s, sf: spatial.row_bounds(d.page_items(s, sf).where("price IS NOT NULL")),
+    "w15_row_heights": lambda s, sf: spatial.row_heights(d.page_items(s, sf)),
+    "j13_nearest_above": lambda s, sf: spatial.nearest_above(d.page_items(s, sf), d.page_items(s, sf).where("item % 9 = 0")),
+    "j14_grounding": lambda s, sf: spatial.grounded(d.page_items(s, sf).where("price IS NULL"), d.page_items(s, sf).where("price IS NOT NULL")),
+    "s4_products": lambda s, sf: files.products(d.raw_list(s, sf)),
+    "s4_skipped": lambda s, sf: files.skipped(d.raw_list(s, sf)),
+    "k1_order_csv": lambda s, sf: sinks.order_csv(_costed(s, sf)),
+    "k3_packing_list": lambda s, sf: sinks.packing_list(_costed(s, sf)),
     "st1_status_replay": lambda s, sf: tracker.replay(d.status_events(s, sf)),
 }
 
@@ -112,7 +124,20 @@ _IDENT = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 _IDKEY = " || '|' || ".join(_IDENT.format(c) for c in ("marca", "modelo", "variante", "cat"))
 _SLUG = "substr(regexp_replace(upper({}), '[^A-Z0-9]', '', 'g'), 1, {})"
 
+_FACTS = f"""{d.SQL_IMAGED}, bm AS (SELECT img, {_IDENT.format('modelo')} || '|' || upper(cat) AS model_cat, count(*) AS n, min(row_seq) AS first FROM imaged WHERE img IS NOT NULL GROUP BY ALL),
+bi AS (SELECT img, count(*) AS n, min(row_seq) AS first, count(DISTINCT cat) AS n_cats, count(DISTINCT lower(marca)) AS n_brands FROM imaged WHERE img IS NOT NULL GROUP BY img),
+facts AS (SELECT bi.*, (SELECT count(*) FROM bm WHERE bm.img = bi.img) AS models, (SELECT model_cat FROM bm WHERE bm.img = bi.img ORDER BY n DESC, first LIMIT 1) AS kept_model FROM bi)"""
+
 ORACLE_SQL = {
+    "a6_assignment_metrics": f"WITH {_FACTS} SELECT (SELECT count(*) FROM imaged) AS total, (SELECT count(img) FROM imaged) AS with_image, count(*) AS unique_images, count(*) FILTER (n > 1) AS shared_images, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS shared_rows, count(*) FILTER (n_cats > 1) AS cross_category, count(*) FILTER (n_brands > 1 AND models > 1) AS cross_brand FROM facts",
+    "a12_image_audit": f"WITH {d.SQL_IMAGED} SELECT state, count(*) AS n FROM (SELECT CASE WHEN img IS NULL THEN 'missing' WHEN row_seq <> min(row_seq) OVER (PARTITION BY img) THEN 'duplicate' ELSE 'inline' END AS state FROM imaged) GROUP BY state",
+    "v11_integrity_gates": f"WITH {_FACTS}, r AS (SELECT i.sku, i.row_seq, i.img, i.status, coalesce(n_cats > 1, false) AS across, coalesce(n_brands > 1 AND models > 1 AND {_IDENT.format('modelo')} || '|' || upper(cat) <> kept_model, false) AS brands, first FROM imaged i LEFT JOIN facts f ON f.img = i.img), l AS (SELECT *, CASE WHEN NOT ((across AND row_seq <> first) OR brands) THEN img END AS kept FROM r) SELECT sku, row_seq, kept AS img, CASE WHEN status = 'GREEN' AND (across OR kept IS NULL) THEN 'YELLOW' ELSE status END AS status, array_to_string(list_filter([CASE WHEN across THEN 'cross-category' END, CASE WHEN brands THEN 'cross-brand' END, CASE WHEN kept IS NULL THEN 'no-image' END], lambda x: x IS NOT NULL), ',') AS reasons FROM l",
+    "w4_row_bounds": f"WITH {d.SQL_ITEMS} SELECT file, page, item, y, coalesce((lag(y) OVER w + y) / 2, y - 20) AS top, coalesce((lead(y) OVER w + y) / 2, y + 20) AS bottom FROM items WHERE price IS NOT NULL WINDOW w AS (PARTITION BY file, page ORDER BY y, item)",
+    "w15_row_heights": f"WITH {d.SQL_ITEMS}, y AS (SELECT DISTINCT file, page, y FROM items), g AS (SELECT *, y - lag(y) OVER (PARTITION BY file, page ORDER BY y) AS gap FROM y) SELECT file, page, count(*) FILTER (gap > 5 AND gap < 300) AS gaps, {_r2('avg(gap) FILTER (gap > 5 AND gap < 300)')} AS height FROM g GROUP BY file, page",
+    "j13_nearest_above": f"WITH {d.SQL_ITEMS}, h AS (SELECT * FROM items WHERE item % 9 = 0), c AS (SELECT i.file, i.page, i.item, i.y, max_by(h.item, (h.y, h.item)) AS header, max(h.y) AS hy FROM items i LEFT JOIN h ON h.file = i.file AND h.page = i.page AND h.y <= i.y GROUP BY ALL) SELECT file, page, item, CASE WHEN y - hy <= 260 THEN header END AS header, CASE WHEN y - hy <= 260 THEN y - hy END AS distance FROM c",
+    "j14_grounding": f"WITH {d.SQL_ITEMS}, r AS (SELECT * FROM items WHERE price IS NULL), a AS (SELECT * FROM items WHERE price IS NOT NULL), m AS (SELECT r.item, min((abs(r.y - a.y) + abs(r.x - a.x), a.item)) AS b FROM r JOIN a ON a.file = r.file AND a.page = r.page AND abs(r.x - a.x) <= 40 AND abs(r.y - a.y) <= 30 AND abs(r.fob - a.price) < 0.01 GROUP BY r.item) SELECT r.item, b[2] AS anchor, {_r2('b[1]')} AS distance, b IS NOT NULL AS grounded FROM r LEFT JOIN m USING (item)",
+    "s4_products": f"WITH {d.SQL_CATALOG} SELECT sku, marca, modelo, variante, fob, cat FROM (SELECT sku, marca, CASE WHEN row_seq % 10 = 0 THEN '' ELSE modelo END AS modelo, variante, CASE WHEN row_seq % 7 = 0 THEN NULL ELSE floor(fob) END AS fob, CASE WHEN row_seq % 3 = 0 THEN 'OTRO' ELSE cat END AS cat FROM catalog) WHERE modelo <> '' AND coalesce(fob, 0) <> 0",
+    "s4_skipped": f"WITH {d.SQL_CATALOG} SELECT count(*) FILTER (row_seq % 10 = 0) AS no_model, count(*) FILTER (row_seq % 10 <> 0 AND (row_seq % 7 = 0 OR floor(fob) = 0)) AS no_price FROM catalog",
     "d1_order_costing": f"WITH {_COSTED} SELECT * FROM costed",
     "d17_order_totals": f"WITH {_TOTALS} SELECT *, CASE WHEN margin_pct >= 40 THEN 'healthy' WHEN margin_pct >= 20 THEN 'tight' ELSE 'low' END AS band FROM totals",
     "d5_courier_warnings": f"WITH {d.SQL_LINES}, o AS (SELECT order_id, {_r2('sum(fob * qty)')} AS fob_total, count(*) FILTER (qty > 3) AS n_commercial FROM lines GROUP BY order_id), w AS (SELECT *, array_to_string(list_filter([CASE WHEN fob_total > 3000 THEN 'COURIER_FOB_EXCEEDED' END, CASE WHEN n_commercial > 0 THEN 'COURIER_COMMERCIAL_QTY' END], lambda x: x IS NOT NULL), ',') AS warnings FROM o) SELECT * FROM w WHERE warnings <> ''",
