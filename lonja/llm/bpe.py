@@ -3,8 +3,9 @@
 1. Every task splits the words of its texts once and packs them, chunk by chunk (a bounded number of words), into a
    word list and, for each document, the positions of its words in that list. Chunks are stored as a bucketed table in
    the shared folder.
-2. The words of all chunks meet in one exchange by word; each distinct word is encoded once.
-3. The ids return to their chunks by (chunk, position); documents are put together there, and decoded by joining their
+2. The words of all chunks meet in one exchange by word. The distinct words of a partition are its part of the
+   distinct-word table: each is encoded once, wherever it occurs, and every (chunk, position) that has it takes its ids.
+3. The ids return to their chunks by (chunk, position), packed; documents are put together there, and decoded by joining their
    ids with the id-to-piece table, which is shipped to the tasks. The stored side is bucketed by chunk and is not
    shuffled again.
 
@@ -19,10 +20,10 @@ import os
 import re
 import unicodedata
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -81,7 +82,7 @@ class _Positions(dict):
 
 
 def _pack(codes: np.ndarray) -> bytes:
-    """Positions as byte planes, low bytes first, which compress well."""
+    """32-bit numbers as byte planes, low bytes first, which compress well."""
     return codes.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
@@ -89,7 +90,8 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
 
 
-_CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("words", pa.list_(pa.string()))])
+_WORDS = pa.list_(pa.struct([("word", pa.string()), ("pos", pa.int32())]))
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("words", _WORDS)])
 
 
 def _chunked(spec: str):
@@ -97,7 +99,9 @@ def _chunked(spec: str):
         split, seen, n, chunk = word_splitter(json.loads(spec)), _Positions(), 0, uuid.uuid4().int >> 65
 
         def close():
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([list(seen)], pa.list_(pa.string()))], schema=_CHUNKS)
+            words = sorted(seen)  # neighbours in order compress better on their way
+            pairs = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(list(map(seen.__getitem__, words)), pa.int32())], ["word", "pos"])
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pairs)], schema=_CHUNKS)
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -110,7 +114,7 @@ def _chunked(spec: str):
                     packed.append(_pack(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words))))
                     n, size, at = n + len(words), size + 4 * len(words) + len(text), at + 1
                 rows = at - done
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, chunk), pa.int64()), ids.slice(done, rows), pa.array(packed, pa.binary()), pa.nulls(rows, pa.list_(pa.string()))], schema=_CHUNKS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, chunk), pa.int64()), ids.slice(done, rows), pa.array(packed, pa.binary()), pa.nulls(rows, _WORDS)], schema=_CHUNKS)
                 if n >= CHUNK_WORDS or len(seen) >= CHUNK_DISTINCT:
                     yield close()
                     seen, n, chunk = _Positions(), 0, uuid.uuid4().int >> 65
@@ -121,22 +125,37 @@ def _chunked(spec: str):
     return run
 
 
-def _encoder(spec: str, wide: bool):
-    """Ids of each word, packed in two bytes each, four with a large vocabulary."""
+def _encoder(spec: str):
+    """Encodes the distinct words of a partition and packs, chunk by chunk, the places of its words and their ids."""
 
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for a task
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        for words in series:
-            coded = (e.ids for at in range(0, len(words), 1000) for e in tokenizer.encode_batch(words[at : at + 1000].tolist(), add_special_tokens=False))
-            yield pd.Series([np.array(ids, np.uint32 if wide else np.uint16).tobytes() for ids in coded])
+        table: dict[str, np.ndarray] = {}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            words, chunks, places = batch.column(2).to_pylist(), np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            new = [w for w in dict.fromkeys(words) if w not in table]
+            for at in range(0, len(new), 1000):
+                for word, e in zip(new[at : at + 1000], tokenizer.encode_batch(new[at : at + 1000], add_special_tokens=False)):
+                    table[word] = np.array(e.ids, np.uint32)
+            ids = np.empty(len(words), object)
+            ids[:] = [table[w] for w in words]
+            order = np.argsort(chunks, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(chunks[order])) + 1) if len(order) else ():
+                own = ids[part]
+                found.setdefault(int(chunks[part[0]]), []).append((places[part].astype(np.uint32), np.array([len(x) for x in own], np.uint32), np.concatenate(own)))
+        rows = []
+        for chunk, parts in found.items():
+            place, length, flat = (np.concatenate(x) for x in zip(*parts))
+            rows.append((chunk, zlib.compress(_pack(place), 1), zlib.compress(_pack(length), 1), zlib.compress(_pack(flat), 1)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["of_chunk", "places", "lengths", "ids"])
 
-    # Not to be moved below the distinct by a filter on its result: it would run for every word of every chunk.
-    return F.pandas_udf(run, "binary").asNondeterministic()
+    return run
 
 
 def pieces(spec: dict) -> list[str]:
@@ -145,17 +164,14 @@ def pieces(spec: dict) -> list[str]:
     return [table.get(k, "") for k in range(max(table) + 1)]
 
 
-def _assembler(table, wide: bool):
+def _assembler(table):
     def run(docs: pa.Table, vocabulary: pa.Table) -> pa.Table:
         """Ids and decoded text of a chunk's documents, from its words' ids."""
         piece = table.value
-        vocabulary = vocabulary.sort_by("pos")
-        packed = vocabulary["ids"].combine_chunks()
-        packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
-        size = 4 if wide else 2
-        ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64) // size
-        flat = np.frombuffer(packed.buffers()[2], np.uint32 if wide else np.uint16) if len(packed) and ends[-1] else np.empty(0, np.uint16)
-        begin, lengths = ends[:-1], np.diff(ends)
+        place, length, flat = (np.concatenate([np.empty(0, np.uint32), *(_unpack(zlib.decompress(x.as_py())) for x in vocabulary[c])]) for c in ("places", "lengths", "ids"))
+        begin, lengths = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        lengths[place] = length
+        begin[place] = np.cumsum(length.astype(np.int64)) - length
         out, parts, held = [[], [], [], []], [], 0
         for doc_id, codes in zip(docs["doc_id"].to_pylist(), docs["codes"]):
             if (codes := codes.as_py()) is None:
@@ -192,19 +208,13 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     name = f"lonja_chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = rows.mapInArrow(_chunked(spec), "chunk long, doc_id long, codes binary, words array<string>")
+    chunks = rows.mapInArrow(_chunked(spec), "chunk long, doc_id long, codes binary, words array<struct<word:string,pos:int>>")
     writer = chunks.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/lonja/{name}")
     writer.format("parquet").saveAsTable(name)
     stored = spark.table(name)
-    words = stored.where("words IS NOT NULL").select("chunk", F.posexplode("words").alias("pos", "word")).repartition(buckets, "word")
-    parsed = json.loads(spec)
-    table = pieces(parsed)
-    wide = len(table) > 1 << 16
-    # The least place is there so that both sides of the join below read the same exchange.
-    distinct = words.groupBy("word").agg(F.min(F.struct("chunk", "pos")).alias("first")).where("first IS NOT NULL")
-    coded = distinct.select("word", _encoder(spec, wide)("word").alias("ids"))
-    vocabulary = words.join(coded, "word").select(F.col("chunk").alias("of_chunk"), "pos", "ids")
+    words = stored.where("words IS NOT NULL").select("chunk", F.explode("words").alias("w")).select("chunk", "w.pos", "w.word").repartition(buckets, "word")
+    vocabulary = words.mapInArrow(_encoder(spec), "of_chunk long, places binary, lengths binary, ids binary")
     texts = stored.where("words IS NULL").select("chunk", "doc_id", "codes")
-    assemble = _assembler(spark.sparkContext.broadcast(table), wide)
+    assemble = _assembler(spark.sparkContext.broadcast(pieces(json.loads(spec))))
     done = texts.groupBy("chunk").cogroup(vocabulary.groupBy("of_chunk")).applyInArrow(assemble, "doc_id long, n_tokens long, ids binary, decoded string")
     return done.withColumnRenamed("doc_id", id_col)
