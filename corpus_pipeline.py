@@ -24,9 +24,10 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays."""
+    """The document with the smallest id of each component stays, once if it is repeated; rows without an id stay."""
     heads = jaccard_components(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(materialize(heads, "kept-ids"), "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(materialize(heads, "kept-ids"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
