@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Orders of the n-grams, bits of their hash, kept features, sampled rows of each label (documented bounds).
-ORDERS, BITS, FEATURES, SAMPLE = (3, 4, 5), 20, 1 << 15, 4_000
+ORDERS, BITS, FEATURES, SAMPLE = (3, 4, 5), 20, 1 << 13, 4_000
 #: Score from which a text counts as toxic, and the texts held out: crc32(id as text) mod 4 = 2.
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 #: Standard errors by which the share of texts with an n-gram differs between the labels, for the n-gram to be kept:
@@ -62,16 +62,16 @@ def _picked(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_present(t.as_py(), wanted.value) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], ["toxic", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.astype("<i4").tobytes() for r in rows], pa.binary())], ["toxic", "buckets"])
 
     return run
 
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on the ratios of present features, full batches, adaptive steps."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    value = ratio[column]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    column = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    value = ratio[column].astype(np.float32)
     w, b = np.zeros(len(ratio)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, steps + 1):
@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     one, other = (known.where(F.col("toxic") == k).orderBy("h", "id").limit(SAMPLE) for k in (0, 1))
     picked = one.unionByName(other).select("id", "toxic")  # at most 2 * SAMPLE rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("text", "toxic").repartition(16)
-    total = np.zeros((2, 1 << BITS), np.int64)
+    total = np.zeros((2, 1 << BITS), np.int32)
     texts = texts.persist()
     for row in texts.mapInArrow(_counts, "counts binary").collect():  # one table for each of 16 tasks
         total += np.frombuffer(zlib.decompress(row["counts"]), np.int32).reshape(2, -1)
@@ -112,10 +112,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     best = np.sort(best[strength[best] >= SIGNIFICANT])
     wanted = np.zeros(1 << BITS, bool)
     wanted[best] = True
-    rows = texts.mapInArrow(_picked(spark.sparkContext.broadcast(wanted)), "toxic int, buckets array<int>").collect()
+    rows = texts.mapInArrow(_picked(spark.sparkContext.broadcast(wanted)), "toxic int, buckets binary").collect()
     texts.unpersist()
     rows.sort(key=lambda r: (r["toxic"], r["buckets"]))  # the fit does not depend on the order of tasks
-    w, b = _fit([np.searchsorted(best, np.array(r["buckets"], np.int64)) for r in rows], np.array([r["toxic"] for r in rows], float), ratio[best])
+    w, b = _fit([np.searchsorted(best, np.frombuffer(r["buckets"], "<i4")).astype(np.int32) for r in rows], np.array([r["toxic"] for r in rows], float), ratio[best])
     weights = np.zeros(1 << BITS, np.float32)
     weights[best] = w
     return {"weights": weights, "bias": b}
