@@ -20,6 +20,8 @@ from lonja.llm.common import materialize, words
 WEIGHTS, SHARE, MOST, BLOCK, SHARDS = (5, 2, 1), 1.5, 2, 64, 64
 #: Documents of a source are dealt into so many packing streams at least, and more when documents grow in number.
 STREAMS, DOCS_PER_STREAM = 64, 20_000
+#: Slots of an output shard at most, in the mean: more words make more shards.
+SLOTS_PER_SHARD = 500_000
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -105,6 +107,8 @@ def _mixed(rows: DataFrame, seed: int, shards: int) -> dict[str, DataFrame]:
     streams = max(STREAMS, -(-rows.count() // DOCS_PER_STREAM))
     rows = rows.withColumn("stream", F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(streams)).cast("int"))
     wanted = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "source-targets")
+    total = wanted.agg(F.sum("source_size")).first()[0] or 0
+    shards = max(shards, -(-int(total * SHARE) // (BLOCK * SLOTS_PER_SHARD)))
     of_stream = Window.partitionBy("source_key", "stream").orderBy("doc_id", "row_key", "size")
     begin = F.sum("size").over(of_stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     tie = F.row_number().over(of_stream)
@@ -122,15 +126,17 @@ def _mixed(rows: DataFrame, seed: int, shards: int) -> dict[str, DataFrame]:
     slots = F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + F.lit(0.5))
     plan = plan.select("source_key", F.least(slots, F.col("blocks") * MOST).cast("long").alias("slots"), "blocks", F.xxhash64("source_key", F.lit(seed)).alias("h"))
     drawn = plan.repartition("source_key").mapInPandas(_draw(seed, shards), "source_key string, h long, blocks long, shard int, first long, count long").where("count > 0")
-    drawn = drawn.repartition(F.col("source_key"), F.col("shard"))
+    # A fixed number of partitions: few rows, each of which unfolds into many.
+    drawn = drawn.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_key", "shard")
     slot = drawn.select("source_key", "shard", "blocks", "h", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("slot"))
     slot = slot.select("source_key", "shard", "slot", _block_of("slot", "blocks", "h").alias("block"))
     times = slot.groupBy("source_key", "block").agg(F.count("*").alias("times"))
     packed = packed.join(ends.select("source_key", "stream", "base"), ["source_key", "stream"]).withColumn("block", F.col("block") + F.col("base"))
-    pieces = packed.join(times, ["source_key", "block"]).select("doc_id", "row_key", "source_key", "stream", "tie", F.col("from").alias("begin"), "length", "times")
+    # Spark takes tables that unfold from few rows for small ones: these joins are by merge, whatever it estimates.
+    pieces = packed.join(times.hint("merge"), ["source_key", "block"]).select("doc_id", "row_key", "source_key", "stream", "tie", F.col("from").alias("begin"), "length", "times")
     taken = pieces.groupBy("source_key", "stream", "tie").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
     numbered = rows.where("size > 0").withColumn("tie", tie).unionByName(rows.where("size = 0").withColumn("tie", F.lit(None).cast("int")))
-    documents = numbered.join(taken, ["source_key", "stream", "tie"], "left").join(wanted.select(key, "source_size", "target"), "source_key")
+    documents = numbered.join(taken.hint("merge"), ["source_key", "stream", "tie"], "left").join(wanted.select(key, "source_size", "target"), "source_key")
     documents = documents.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return {"documents": documents, "pieces": pieces, "slots": slot, "targets": wanted}
 
@@ -165,7 +171,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     passes = pieces.select("row_key", "tie", F.struct("begin", "length").alias("r"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("pass"))
     ranges = passes.groupBy("row_key", "tie", "pass").agg(F.collect_list("r").alias("_ranges")).select(F.col("row_key").alias("_key"), F.col("_ranges"), "tie", "pass")
     copies = keyed.dropDuplicates(["_key"])  # repeated rows are equal in id and text, each has its own ranges
-    joined = copies.join(ranges, "_key").select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias("_text"), "_ranges")
+    joined = copies.join(ranges.hint("merge"), "_key").select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias("_text"), "_ranges")
     fields = [f for f in docs.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _text string"
     cut = joined.drop(text_col).withColumn(text_col, F.lit(None).cast("string")).select(*(F.col(f"`{c}`") for c in names), "_text", "_ranges").mapInPandas(_cut, schema)
