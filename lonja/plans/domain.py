@@ -68,6 +68,20 @@ def raw_list(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("sku").alias("Código"), F.col("marca").alias("Brand"), F.when(F.col("row_seq") % 10 != 0, F.col("modelo")).alias("Product  Name"), F.col("variante").alias("Color/Variante"), F.when(F.col("row_seq") % 3 != 0, F.col("cat")).alias("Categoría"), price.alias("FOB unit USD"))
 
 
+def price_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """New prices from orders, many for a sku, some out of range or for no product."""
+    o = _read(spark, sf, "orders")
+    return o.select(F.concat(F.lit("P-"), F.lpad((F.col("o_orderkey") % 3000).cast("string"), 8, "0")).alias("sku"), F.floor(F.col("o_totalprice") * 2).cast("double").alias("new_fob"), F.col("o_orderkey").alias("seq"))
+
+
+def number_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers as people write them, with either mark, and texts without one."""
+    c, three = catalog(spark, sf), F.lpad((F.col("row_seq") % 1000).cast("string"), 3, "0")
+    k = F.col("row_seq") % 4
+    text = F.when(k == 0, F.concat(F.lit("1."), three, F.lit(",5"))).when(k == 1, F.concat(F.lit("2,"), three, F.lit(".25"))).when(k == 2, F.concat(F.col("row_seq").cast("string"), F.lit(",75"))).otherwise("x")
+    return c.select("row_seq", text.alias("text"))
+
+
 #: The same shapes in DuckDB.
 SQL_CATALOG = """catalog AS (SELECT 'P-' || lpad(p_partkey::VARCHAR, 8, '0') AS sku, p_brand AS marca, p_name AS modelo, split_part(p_name, ' ', 1) AS variante,
   CASE p_type WHEN 'ECONOMY' THEN 'TECLADO' WHEN 'SMALL' THEN 'MOUSE' WHEN 'MEDIUM' THEN 'HEADSET' WHEN 'PROMO' THEN 'MONITOR' WHEN 'STANDARD' THEN 'SWITCH' ELSE 'OTRO' END AS cat,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lonja.functions import exprs, rules
 from lonja.operators import catalog as cat
-from lonja.operators import costing, images, quality, search, spatial, tracker
+from lonja.operators import audit, costing, images, mutations, quality, search, spatial, tracker
 from lonja.plans import domain as d
 from lonja.sources import files, sinks
 
@@ -103,6 +103,15 @@ QUERIES = {
     "s4_skipped": lambda s, sf: files.skipped(d.raw_list(s, sf)),
     "k1_order_csv": lambda s, sf: sinks.order_csv(_costed(s, sf)),
     "k3_packing_list": lambda s, sf: sinks.packing_list(_costed(s, sf)),
+    "dm2_set_prices": lambda s, sf: mutations.set_prices(d.catalog(s, sf), d.price_updates(s, sf)),
+    "dm3_delete": lambda s, sf: mutations.delete(d.catalog(s, sf), d.cart(s, sf).where("qty = 0")),
+    "dm5_merge_cart": lambda s, sf: mutations.merge_cart(d.cart(s, sf), d.cart(s, sf).where("qty > 2").select("sku", (F.lit(3.0) - F.col("qty")).alias("delta"))),
+    "a24_discount": lambda s, sf: mutations.discounted(d.lines(s, sf), 0.07),
+    "j5_sku_audit": lambda s, sf: audit.sku_audit(d.catalog(s, sf).where("row_seq % 5 != 0"), d.cart(s, sf), d.lines(s, sf).select("sku")),
+    "a10_violations": lambda s, sf: audit.violations(quality.price_checks(d.catalog(s, sf)), ["NO_PRICE", "PRICE_RANGE", "PRICE_HIGH", "NO_MODEL"]),
+    "a27_confusion": lambda s, sf: audit.confusion(s.read.parquet(f"{sf}/labels.parquet"), "toxic", "quality"),
+    "a17_status_by_category": lambda s, sf: audit.status_by(quality.graded(d.catalog(s, sf)), "cat"),
+    "t1_locale_number": lambda s, sf: d.number_texts(s, sf).select("row_seq", exprs.locale_number(F.col("text"), -1.0).alias("value"), exprs.leading_number(F.col("text")).alias("leading")),
     "st1_status_replay": lambda s, sf: tracker.replay(d.status_events(s, sf)),
 }
 
@@ -129,6 +138,15 @@ bi AS (SELECT img, count(*) AS n, min(row_seq) AS first, count(DISTINCT cat) AS
 facts AS (SELECT bi.*, (SELECT count(*) FROM bm WHERE bm.img = bi.img) AS models, (SELECT model_cat FROM bm WHERE bm.img = bi.img ORDER BY n DESC, first LIMIT 1) AS kept_model FROM bi)"""
 
 ORACLE_SQL = {
+    "dm2_set_prices": f"WITH {d.SQL_CATALOG}, u AS (SELECT 'P-' || lpad((o_orderkey % 3000)::VARCHAR, 8, '0') AS sku, floor(o_totalprice * 2) AS new_fob, o_orderkey AS seq FROM orders), l AS (SELECT sku, max_by(new_fob, seq) AS new_fob FROM u WHERE new_fob > 0 AND new_fob <= 100000 GROUP BY sku) SELECT c.sku, marca, modelo, variante, cat, coalesce(new_fob, fob) AS fob, row_seq, new_fob IS NOT NULL AND new_fob <> fob AS changed FROM catalog c LEFT JOIN l USING (sku)",
+    "dm3_delete": f"WITH {d.SQL_CART} SELECT * FROM catalog WHERE sku NOT IN (SELECT sku FROM cart WHERE qty = 0)",
+    "dm5_merge_cart": f"WITH {d.SQL_CART} SELECT sku, greatest(0::DOUBLE, qty + CASE WHEN qty > 2 THEN 3 - qty ELSE 0 END) AS qty FROM cart WHERE qty + CASE WHEN qty > 2 THEN 3 - qty ELSE 0 END > 0",
+    "a24_discount": f"WITH {d.SQL_LINES}, o AS (SELECT order_id, fob, {_r2('fob * (1 - 0.07::DOUBLE)')} AS off, CASE WHEN qty <> 0 THEN qty ELSE 1 END AS qty FROM lines) SELECT order_id, {_r2('sum(off * qty)')} AS fob_total, {_r2('sum((fob - off) * qty)')} AS saving FROM o GROUP BY order_id",
+    "j5_sku_audit": f"WITH {d.SQL_CART}, k AS (SELECT sku FROM catalog WHERE row_seq % 5 <> 0), h AS (SELECT c.sku FROM lineitem JOIN catalog c ON c.row_seq = l_partkey) SELECT DISTINCT sku, 'cart_orphan' AS finding FROM cart WHERE sku NOT IN (SELECT sku FROM k) UNION ALL SELECT DISTINCT sku, 'history_orphan' FROM h WHERE sku NOT IN (SELECT sku FROM k)",
+    "a10_violations": f"WITH {_CHECKS} SELECT code, (SELECT count(*) FROM checks WHERE list_contains(string_split(issues, ','), code)) AS n FROM (VALUES ('NO_PRICE'), ('PRICE_RANGE'), ('PRICE_HIGH'), ('NO_MODEL')) t(code)",
+    "a27_confusion": "SELECT count(*) FILTER (toxic = 1 AND quality = 1) AS tp, count(*) FILTER (toxic <> 1 AND quality = 1) AS fp, count(*) FILTER (toxic = 1 AND quality <> 1) AS fn, count(*) FILTER (toxic <> 1 AND quality <> 1) AS tn FROM labels",
+    "a17_status_by_category": f"WITH {_GRADED} SELECT cat, count(*) FILTER (status = 'GREEN') AS green, count(*) FILTER (status = 'YELLOW') AS yellow, count(*) FILTER (status = 'RED') AS red FROM graded GROUP BY cat",
+    "t1_locale_number": f"WITH {d.SQL_CATALOG}, t AS (SELECT row_seq, CASE row_seq % 4 WHEN 0 THEN '1.' || lpad((row_seq % 1000)::VARCHAR, 3, '0') || ',5' WHEN 1 THEN '2,' || lpad((row_seq % 1000)::VARCHAR, 3, '0') || '.25' WHEN 2 THEN row_seq::VARCHAR || ',75' ELSE 'x' END AS text FROM catalog) SELECT row_seq, CASE row_seq % 4 WHEN 0 THEN 1000 + row_seq % 1000 + 0.5::DOUBLE WHEN 1 THEN 2000 + row_seq % 1000 + 0.25::DOUBLE WHEN 2 THEN row_seq + 0.75::DOUBLE ELSE -1 END AS value, CASE row_seq % 4 WHEN 0 THEN regexp_extract(text, '^[0-9]+[.][0-9]+')::DOUBLE WHEN 1 THEN 2 WHEN 2 THEN row_seq END::DOUBLE AS leading FROM t",
     "a6_assignment_metrics": f"WITH {_FACTS} SELECT (SELECT count(*) FROM imaged) AS total, (SELECT count(img) FROM imaged) AS with_image, count(*) AS unique_images, count(*) FILTER (n > 1) AS shared_images, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS shared_rows, count(*) FILTER (n_cats > 1) AS cross_category, count(*) FILTER (n_brands > 1 AND models > 1) AS cross_brand FROM facts",
     "a12_image_audit": f"WITH {d.SQL_IMAGED} SELECT state, count(*) AS n FROM (SELECT CASE WHEN img IS NULL THEN 'missing' WHEN row_seq <> min(row_seq) OVER (PARTITION BY img) THEN 'duplicate' ELSE 'inline' END AS state FROM imaged) GROUP BY state",
     "v11_integrity_gates": f"WITH {_FACTS}, r AS (SELECT i.sku, i.row_seq, i.img, i.status, coalesce(n_cats > 1, false) AS across, coalesce(n_brands > 1 AND models > 1 AND {_IDENT.format('modelo')} || '|' || upper(cat) <> kept_model, false) AS brands, first FROM imaged i LEFT JOIN facts f ON f.img = i.img), l AS (SELECT *, CASE WHEN NOT ((across AND row_seq <> first) OR brands) THEN img END AS kept FROM r) SELECT sku, row_seq, kept AS img, CASE WHEN status = 'GREEN' AND (across OR kept IS NULL) THEN 'YELLOW' ELSE status END AS status, array_to_string(list_filter([CASE WHEN across THEN 'cross-category' END, CASE WHEN brands THEN 'cross-brand' END, CASE WHEN kept IS NULL THEN 'no-image' END], lambda x: x IS NOT NULL), ',') AS reasons FROM l",
