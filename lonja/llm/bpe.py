@@ -30,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lonja.llm.common import shared_dir
+from lonja.llm.common import shared_dir, trim
 
 #: Words and distinct words of a chunk at most, and text bytes of one output batch (a longer text stands alone).
-CHUNK_WORDS, CHUNK_DISTINCT, BATCH_BYTES = 4_000_000, 450_000, 4 << 20
+CHUNK_WORDS, CHUNK_DISTINCT, BATCH_BYTES = 3_000_000, 350_000, 4 << 20
 
 
 def word_splitter(spec: dict) -> Callable[[str], list[str]]:
@@ -96,6 +96,7 @@ _CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("codes", pa
 
 def _chunked(spec: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         split, seen, n, chunk = word_splitter(json.loads(spec)), _Positions(), 0, uuid.uuid4().int >> 65
 
         def close():
@@ -120,7 +121,7 @@ def _chunked(spec: str):
                     seen, n, chunk = _Positions(), 0, uuid.uuid4().int >> 65
         yield close()
         del seen
-        pa.default_memory_pool().release_unused()
+        trim()
 
     return run
 
@@ -130,6 +131,7 @@ def _encoder(spec: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for a task
+        trim()
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec)
@@ -149,6 +151,7 @@ def _encoder(spec: str):
             for part in np.split(order, np.flatnonzero(np.diff(chunks[order])) + 1) if len(order) else ():
                 own = ids[part]
                 found.setdefault(int(chunks[part[0]]), []).append((places[part].astype(np.uint32), np.array([len(x) for x in own], np.uint32), np.concatenate(own)))
+        del table
         rows = []
         for chunk, parts in found.items():
             place, length, flat = (np.concatenate(x) for x in zip(*parts))
@@ -186,7 +189,10 @@ def _assembler(table):
             if held >= BATCH_BYTES:
                 parts.append(_batch(out))
                 out, held = [[], [], [], []], 0
-        return pa.concat_tables([*parts, _batch(out)])
+        parts.append(_batch(out))
+        del out, begin, lengths, flat, place, length
+        trim()
+        return pa.concat_tables(parts)
 
     return run
 

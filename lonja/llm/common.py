@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -52,6 +53,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def trim() -> None:
+    """Gives a Python worker's freed memory back to the system; workers are used again by later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text, empty for null. Native: one translate, one single-character split."""
     spaced = F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE[1:], " " * (len(WHITE_SPACE) - 1))
