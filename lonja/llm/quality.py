@@ -1,9 +1,10 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 One pass computes the features of every whole text. Quantile sketches (KLL) of the features are built for each language
-and source from the texts that pass the base rules; sketches of small groups are replaced by the merged sketch of their
-language, and those of small languages by the merged sketch of all. The thresholds, fences around the middle half with
-a floor, are joined back. No text is read twice.
+and source; sketches of small groups are replaced by the merged sketch of their language, and those of small languages
+by the merged sketch of all. Symbols are judged first, by a fence around the middle half of the texts that pass the
+base rules: junk is in the tail there. The other limits are tail quantiles of the texts within that fence, moved out by
+the tail's distance from the median. The thresholds are joined back. No text is read twice.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEAT = 50, 50
 #: Sketch size, rows below which a group uses its language's sketch, width of the fence in interquartile ranges.
 SKETCH_K, LEAST_GROUP, FENCE = 4096, 50, 4.0
-#: A threshold is never stricter than this: symbols a word, shares of repeated lines and words, characters a word.
-FLOORS = {"symbols": 0.1, "dup_lines": 0.35, "repeats": 0.35, "longest": 7.5, "shortest": 3.0}
-_RATIOS = ("symbols", "dup_lines", "repeats", "length")
+#: Tail quantile, rows that a sketch needs for it, and the margin beyond it in distances from the median.
+TAIL, LEAST_TAIL, MARGIN = 0.99, 100, 1.0
+#: Noise allowance, for groups whose sketch is flat: symbols a word and shares up to this are never held against a text.
+NOISE = 0.05
+_TAILS = ("dup_lines", "repeats", "length")
 
 
 def _repeat_words(w: Column) -> Column:
@@ -78,32 +81,71 @@ def _ratios(q: Column) -> dict[str, Column]:
     return {"symbols": q["n_symbols"] / n, "dup_lines": q["n_dup_lines"] / F.greatest(q["n_lines"], F.lit(1)), "repeats": q["n_repeat_words"] / n, "length": q["word_chars"] / n}
 
 
-def sketches(measured: DataFrame, lang_col: str, source_col: str, into: str = "_quality") -> DataFrame:
-    """Mergeable quantile sketches of each ratio for each language and source, from texts that pass the base rules."""
+def sketches(measured: DataFrame, lang_col: str, source_col: str, ratios: tuple[str, ...], into: str = "_quality") -> DataFrame:
+    """Mergeable quantile sketches of the ratios for each language and source, from texts that pass the base rules."""
     good = measured.where(~base_failed(F.col(into)))
     keys = [F.col(lang_col).alias("lang"), F.col(source_col).alias("source")]
-    rows = good.select(*keys, *(r.alias(k) for k, r in _ratios(F.col(into)).items()))
-    return rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(k, SKETCH_K).alias(k) for k in _RATIOS))
+    found = _ratios(F.col(into))
+    rows = good.select(*keys, *(found[k].alias(k) for k in ratios))
+    return rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(k, SKETCH_K).alias(k) for k in ratios))
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, most_symbols, most_dup_lines, most_repeats, shortest, longest), one row per language and source."""
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(k).alias(k) for k in _RATIOS)]
-    by_lang = sketch.groupBy("lang").agg(*merged).select(F.col("lang").alias("l"), F.struct("n", *_RATIOS).alias("of_lang"))
-    of_all = sketch.agg(*merged).select(F.struct("n", *_RATIOS).alias("of_all"))
-    own = sketch.select("lang", "source", F.struct("n", *_RATIOS).alias("own"))
+def _used(sketch: DataFrame, ratios: tuple[str, ...], least: int) -> DataFrame:
+    """(lang, source, s): the group's own sketches from ``least`` rows, else its language's, else those of all."""
+    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(k).alias(k) for k in ratios)]
+    by_lang = sketch.groupBy("lang").agg(*merged).select(F.col("lang").alias("l"), F.struct("n", *ratios).alias("of_lang"))
+    of_all = sketch.agg(*merged).select(F.struct("n", *ratios).alias("of_all"))
+    own = sketch.select("lang", "source", F.struct("n", *ratios).alias("own"))
     joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l"))).join(F.broadcast(of_all))  # one row
-    used = F.when(F.col("own.n") >= LEAST_GROUP, F.col("own")).when(F.col("of_lang.n") >= LEAST_GROUP, F.col("of_lang")).otherwise(F.col("of_all"))
-    joined = joined.select("lang", "source", used.alias("s"))
-    at = {k: [F.kll_sketch_get_quantile_double(F.col("s")[k], F.lit(r)) for r in (0.25, 0.5, 0.75)] for k in _RATIOS}
+    used = F.when(F.col("own.n") >= least, F.col("own")).when(F.col("of_lang.n") >= least, F.col("of_lang")).otherwise(F.col("of_all"))
+    return joined.select("lang", "source", used.alias("s"))
 
-    def above(k: str, floor: str) -> Column:
-        low, mid, high = at[k]
-        return F.greatest(F.lit(FLOORS[floor]), F.ceil((mid + FENCE * (high - low)) * 100) / 100)
 
-    low, mid, high = at["length"]
-    below = F.least(F.lit(FLOORS["shortest"]), F.floor((mid - FENCE * (high - low)) * 100) / 100)
-    return joined.select("lang", "source", above("symbols", "symbols").alias("most_symbols"), above("dup_lines", "dup_lines").alias("most_dup_lines"), above("repeats", "repeats").alias("most_repeats"), below.alias("shortest"), above("length", "longest").alias("longest"))
+def _at(k: str, rank: float) -> Column:
+    return F.kll_sketch_get_quantile_double(F.col("s")[k], F.lit(rank))
+
+
+def symbol_limits(sketch: DataFrame) -> DataFrame:
+    """(lang, source, most_symbols) from sketches of symbols."""
+    low, mid, high = (_at("symbols", r) for r in (0.25, 0.5, 0.75))
+    fence = F.ceil((mid + FENCE * (high - low)) * 100) / 100
+    return _used(sketch, ("symbols",), LEAST_GROUP).select("lang", "source", F.greatest(F.lit(NOISE), fence).alias("most_symbols"))
+
+
+def tail_limits(sketch: DataFrame) -> DataFrame:
+    """(lang, source, most_dup_lines, most_repeats, shortest, longest) from sketches of texts within the symbol limits."""
+
+    def beyond(k: str, rank: float) -> Column:
+        return _at(k, rank) + MARGIN * (_at(k, rank) - _at(k, 0.5))
+
+    def above(k: str) -> Column:
+        return F.ceil(beyond(k, TAIL) * 100) / 100
+
+    most = [F.greatest(F.lit(NOISE), above(k)).alias(f"most_{k}") for k in ("dup_lines", "repeats")]
+    shortest = F.floor(beyond("length", 1 - TAIL) * 100) / 100
+    return _used(sketch, _TAILS, LEAST_TAIL).select("lang", "source", *most, shortest.alias("shortest"), above("length").alias("longest"))
+
+
+def _with(rows: DataFrame, limits: DataFrame, lang_col: str, source_col: str, into: str) -> DataFrame:
+    """rows with a struct column ``into``: the limits of their language and source, null where there are none."""
+    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*limits.columns[2:]).alias(into))
+    return rows.join(limits, F.col(f"`{lang_col}`").eqNullSafe(F.col("_lang")) & F.col(f"`{source_col}`").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
+
+
+def thresholds(measured: DataFrame, lang_col: str, source_col: str, into: str = "_quality") -> DataFrame:
+    """(lang, source, most_symbols, most_dup_lines, most_repeats, shortest, longest), one row per language and source
+    with texts that pass the base rules; the last four are null where none of them is within the symbol limit.
+    measured is read more than once and should be stored."""
+    first = materialize(symbol_limits(sketches(measured, lang_col, source_col, ("symbols",), into)), "quality-symbols")
+    core = _with(measured, first, lang_col, source_col, "_first").where(_ratios(F.col(into))["symbols"] <= F.col("_first.most_symbols"))
+    tails = tail_limits(sketches(core, lang_col, source_col, _TAILS, into)).withColumnsRenamed({"lang": "l", "source": "s"})
+    joined = first.join(tails, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
+    return materialize(joined, "quality-thresholds")
+
+
+def decided(limits: DataFrame) -> DataFrame:
+    """One row: groups, and those whose limit of each ratio comes from a sketch and not from the noise allowance."""
+    return limits.agg(F.count("*").alias("groups"), *(F.count_if(F.col(f"most_{k}") > NOISE).alias(k) for k in ("symbols", "dup_lines", "repeats")), F.count("longest").alias("length"))
 
 
 def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -116,9 +158,7 @@ def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: s
     need = [c for c in docs.columns if c in inner]
     measured = features(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*need, text_col]))), text_col)
     measured = materialize(measured.select(*(F.col(f"`{c}`") for c in need), "_quality"), "quality-features")
-    limits = materialize(thresholds(sketches(measured, lang_col, source_col)), "quality-thresholds")
-    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*limits.columns[2:]).alias("_limits"))
-    joined = measured.join(limits, F.col(f"`{lang_col}`").eqNullSafe(F.col("_lang")) & F.col(f"`{source_col}`").eqNullSafe(F.col("_source")), "left")
+    joined = _with(measured, thresholds(measured, lang_col, source_col), lang_col, source_col, "_limits")
     q, t, r = F.col("_quality"), F.col("_limits"), _ratios(F.col("_quality"))
     fine = (r["symbols"] <= t["most_symbols"]) & (r["dup_lines"] <= t["most_dup_lines"]) & (r["repeats"] <= t["most_repeats"]) & r["length"].between(t["shortest"], t["longest"])
     verdict = F.struct("_quality.*", base_failed(q).alias("base_failed"), (~base_failed(q) & F.coalesce(fine, F.lit(True))).alias("kept"))

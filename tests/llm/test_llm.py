@@ -198,6 +198,25 @@ def test_quality_features_and_verdicts(spark):
     assert quality.judged(_docs(spark, []).where("false"), ["doc_id"]).count() == 0
 
 
+def test_quality_limits_follow_the_group(spark):
+    """Groups that differ in their tails get limits of their own; each judges a text that the other would not."""
+    r = random.Random(6)
+
+    def text(n, long, twice=0, extra=""):
+        w = [r.choice(WORDS)[:2] + "x" * (long - 6) + f"{r.randrange(10_000):04}" for _ in range(n - twice)]
+        return " ".join(w[: len(w) // 2] + w[:twice] + w[len(w) // 2 :]) + extra
+
+    rows = [("short", text(100, 8, k % 4)) for k in range(400)] + [("long", text(100, 14, 12 if k % 10 == 0 else 0)) for k in range(400)]
+    odd = [("short", text(100, 14)), ("long", text(100, 8)), ("short", text(100, 8, 14)), ("long", text(100, 14, 6)), ("long", text(100, 14, 0, " #" * 20))]
+    df = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(rows + odd)], "doc_id long, text string, lang string, source string")
+    kept = {x["doc_id"]: x["_quality"]["kept"] for x in quality.judged(df, ["doc_id"]).collect()}
+    assert all(kept[i] for i in range(800)) and [kept[800 + i] for i in range(5)] == [False, False, False, True, False]
+    limits = quality.thresholds(quality.materialize(quality.features(df), "measured"), "lang", "source")
+    assert quality.decided(limits).first()[:] == (2, 0, 0, 2, 2)
+    long, short = (x.asDict() for x in limits.orderBy("source").collect())
+    assert long["most_repeats"] > short["most_repeats"] and long["shortest"] > short["longest"]
+
+
 def test_quality_is_native(spark):
     df = quality.judged(_docs(spark, ["a b"]), ["doc_id"])
     plan = df._jdf.queryExecution().executedPlan().toString()
