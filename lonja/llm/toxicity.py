@@ -2,7 +2,8 @@
 
 Training takes a bounded sample of the labelled rows: SAMPLE rows of each label, those with the smallest hash of their
 id. Presence counts of hashed n-grams give the log-count ratios, the n-grams that differ significantly between the labels (FEATURES at most) are kept, and a logistic
-regression is fitted on the ratios of the n-grams that a text holds. Scoring reads every whole text once.
+regression is fitted on the ratios of the n-grams that a text holds. Its bias is moved from the sample's label shares to
+those of all training rows, so that scores do not depend on how much was sampled. Scoring reads every whole text once.
 """
 
 from __future__ import annotations
@@ -92,6 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     known = known.where(fold("id") != HELD_OUT).withColumn("h", F.xxhash64("id"))
+    rows_of = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     one, other = (known.where(F.col("toxic") == k).orderBy("h", "id").limit(SAMPLE) for k in (0, 1))
     picked = one.unionByName(other).select("id", "toxic")  # at most 2 * SAMPLE rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("text", "toxic").repartition(16)
@@ -115,10 +117,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = texts.mapInArrow(_picked(spark.sparkContext.broadcast(wanted)), "toxic int, buckets binary").collect()
     texts.unpersist()
     rows.sort(key=lambda r: (r["toxic"], r["buckets"]))  # the fit does not depend on the order of tasks
+    prior = float(np.log(rows_of[1] / rows_of[0]) - np.log(min(SAMPLE, rows_of[1]) / min(SAMPLE, rows_of[0])))  # 0 where all rows are taken
     w, b = _fit([np.searchsorted(best, np.frombuffer(r["buckets"], "<i4")).astype(np.int32) for r in rows], np.array([r["toxic"] for r in rows], float), ratio[best])
     weights = np.zeros(1 << BITS, np.float32)
     weights[best] = w
-    return {"weights": weights, "bias": b}
+    return {"weights": weights, "bias": b + prior}
 
 
 def fold(id_col: str):

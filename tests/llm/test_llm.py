@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -242,6 +243,17 @@ def test_toxicity_held_out(spark):
     assert one.select("score").distinct().count() == 1 and toxicity.toxicity(docs.where("false"), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
 
 
+def test_toxicity_scores_keep_the_true_share(spark, monkeypatch):
+    """One label has more rows than the sample takes: scores stay at the share of all labelled rows."""
+    docs = spark.createDataFrame([(i, "alpha beta gamma") for i in range(1200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    trained = [i for i in range(1200) if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
+    share = sum(i % 10 == 0 for i in trained) / len(trained)
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    out = toxicity.toxicity(docs, labels).agg(F.avg("score"), F.sum("predicted")).first()
+    assert out[0] == pytest.approx(share, abs=0.02) and out[1] == 0
+
+
 def test_html_field_on_held_out_pages():
     weights, moves = html_text.field()
     right = total = 0
