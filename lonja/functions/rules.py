@@ -44,6 +44,11 @@ PRICE_RANGES = [
     ("SWITCH", 0.05, 15.0, 10.0), ("CAMARA", 5.0, 800.0, 500.0), ("SPEAKER", 5.0, 500.0, 400.0), ("SILLA_GAMING", 30.0, 1000.0, 800.0), ("ACCESORIO", 0.1, 600.0, 450.0), ("NUMPAD", 2.0, 80.0, 60.0),
     ("MONITOR", 30.0, 2000.0, 1500.0), ("CUIDADO_PERSONAL", 2.0, 300.0, 200.0),
 ]
+# Brands that make a few categories only.
+BRAND_LOCK = {
+    "KZ": ["AURICULAR", "ACCESORIO"], "Haimu": ["SWITCH"], "Polaroid": ["CAMARA"], "8BitDo": ["CONTROLLER", "ACCESORIO", "TECLADO", "NUMPAD"],
+    "Flydigi": ["CONTROLLER", "ACCESORIO"], "GameSir": ["CONTROLLER", "ACCESORIO"],
+}
 # Order costing in percent, flat fees and rates when the caller gives none.
 ORDER_DEFAULTS = {"freight_pct": 15.0, "insurance_pct": 2.0, "fee_pct": 3.0, "perception_pct": 6.0, "vat_pct": 21.0, "broker_usd": 500.0, "courier_usd": 8.0, "markup": 2.5, "fx": 1400.0, "mode": "courier"}
 # Life of an import record, in order, and its end states.

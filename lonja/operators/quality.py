@@ -85,3 +85,41 @@ def status_summary(rows: DataFrame) -> DataFrame:
 def sorted_quantile(values, q: float):
     """Nearest-rank quantile of an array column."""
     return nearest_rank(F.array_sort(values), q)
+
+
+def item_rules(catalog: DataFrame) -> DataFrame:
+    """The rules R1-R10 of each row as one array ``rules`` of (code, severity), and the status of the worst of them and
+    of the sku's format. Severity: PASS, WARNING (YELLOW) or CRITICAL (RED); R3's warning is a hint and leaves GREEN.
+
+    img and grounded may be absent, as null: no image is a WARNING, no grounding evidence CRITICAL. The model-quality
+    level and the score, which counts it, are not part of this."""
+    for name, kind in (("img", "string"), ("grounded", "boolean")):
+        if name not in catalog.columns:
+            catalog = catalog.withColumn(name, F.lit(None).cast(kind))
+    rows = catalog.withColumn("_cat", F.upper(F.trim(F.coalesce("cat", F.lit("")))))
+    rows = rows.join(F.broadcast(rules.price_ranges(catalog.sparkSession).withColumnRenamed("cat", "_cat")), "_cat", "left")
+    sku, modelo, variante, marca = (F.trim(F.coalesce(c, F.lit(""))) for c in ("sku", "modelo", "variante", "marca"))
+    cat, fob, price = F.col("_cat"), F.col("fob"), r"^[$]?[0-9]+([.,][0-9]+)?$"
+    noise = r"(?i)^(producto\s*item|item|\.|-|n/a|undefined|null|none|list|earphones?|co\.?,?|ltd\.?|electronic|technology|shenzhen)$"
+    good_fob = F.coalesce(~F.isnan(fob) & (fob > 0) & (fob < float("inf")), F.lit(False))
+    locked = F.lit(False)
+    for brand, cats in rules.BRAND_LOCK.items():
+        locked = locked | ((marca == brand) & ~cat.isin("OTRO", *cats))
+    image = F.coalesce(F.trim("img").rlike(r"(?i)^data:image/(?:png|jpe?g|webp|gif);(?:base64,[a-z0-9+/=\s]+|[^\s]+)$"), F.lit(False))
+    found = {
+        "R1": F.when(~good_fob, "CRITICAL"),
+        "R2": F.when((F.length(modelo) < 2) | modelo.rlike(noise) | modelo.rlike(price), "CRITICAL"),
+        "R3": F.when((fob > 0) & ((fob < F.col("least")) | (fob > F.col("most"))), "CRITICAL").when(fob > F.col("warn"), "WARNING"),
+        "R4": F.when(locked, "CRITICAL"),
+        "R5": F.when(cat.isin("", "OTRO"), "CRITICAL"),
+        "R6": F.when(marca.isin("", "OTRO"), "CRITICAL"),
+        "R7": F.when(variante.rlike(price), "WARNING"),
+        "R8": F.when((modelo != "") & (F.lower(modelo) == F.lower(variante)), "WARNING"),
+        "R9": F.when(~image, "WARNING"),
+        "R10": F.when(F.col("grounded").isNull(), "CRITICAL").when(~F.col("grounded"), "WARNING"),
+    }
+    each = F.array(*(F.struct(F.lit(k).alias("code"), F.coalesce(v, F.lit("PASS")).alias("severity")) for k, v in found.items()))
+    rows = rows.select("sku", "cat", "fob", each.alias("rules"), sku.rlike(r"(?i)^[A-Z0-9][A-Z0-9-]{2,49}$").alias("_sku"))
+    red = ~F.col("_sku") | F.exists("rules", lambda r: r["severity"] == "CRITICAL")
+    yellow = F.exists("rules", lambda r: (r["severity"] == "WARNING") & (r["code"] != "R3"))
+    return rows.select("sku", "cat", "fob", "rules", F.when(red, "RED").when(yellow, "YELLOW").otherwise("GREEN").alias("status"))

@@ -40,3 +40,12 @@ def test_nearest_above(spark):
     items = spark.createDataFrame([(1, 1, 10, 0.0, 50.0), (1, 1, 11, 0.0, 400.0), (1, 2, 12, 0.0, 50.0)], schema)
     heads = spark.createDataFrame([(1, 1, 1, 0.0, 20.0), (1, 1, 2, 0.0, 50.0)], schema)
     assert {r["item"]: r["header"] for r in spatial.nearest_above(items, heads).collect()} == {10: 2, 11: None, 12: None}
+
+
+def test_item_rules(spark):
+    good = dict(sku="MOU-001", marca="Acme", modelo="Viper 8", variante="black", cat="MOUSE", fob=20.0, img="data:image/png;base64,AAAA", grounded=True)
+    wrong = [("R1", "fob", -5.0, "RED"), ("R2", "modelo", "item", "RED"), ("R3", "fob", 999.0, "RED"), ("R4", "marca", "KZ", "RED"), ("R5", "cat", "OTRO", "RED"), ("R6", "marca", None, "RED"), ("R7", "variante", "$12,5", "YELLOW"), ("R8", "variante", "VIPER 8", "YELLOW"), ("R9", "img", None, "YELLOW"), ("R10", "grounded", False, "YELLOW"), ("R10", "grounded", None, "RED"), ("", "sku", "a b", "RED"), ("R3", "fob", 250.0, "GREEN"), ("", "cat", " mouse ", "GREEN")]
+    schema = "sku string, marca string, modelo string, variante string, cat string, fob double, img string, grounded boolean"
+    rows = spark.createDataFrame([tuple((good | {k: v}).values()) for _, k, v, _ in wrong], schema).coalesce(1)
+    got = [("".join(x["code"] for x in r["rules"] if x["severity"] != "PASS"), len(r["rules"]), r["status"]) for r in quality.item_rules(rows).collect()]
+    assert got == [(code, 10, status) for code, _, _, status in wrong]
