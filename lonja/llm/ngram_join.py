@@ -1,6 +1,7 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
-Plan, with no cap anywhere and no step that emits the pairs of a group:
+Plan, with no cap anywhere. Pairs inside a component are not emitted; step 3 emits pairs of different components that
+share a short list and pass the filters, and one task reads a whole short list:
 
 1. One pass hashes every whole text into its shingle set, gives equal sets one node, and counts shingles in a
    mergeable table of counters (fixed number of buckets). Buckets over a threshold are *frequent*.
