@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lonja.llm.common import checkpoint
+from lonja.llm.common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,15 +33,16 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node that has an edge to another; component is its smallest reachable node.
 
-    Null ends and self-loops are ignored; an empty edge table gives an empty result. Each round is checkpointed in
-    the shared folder, so a lost executor costs that round only."""
+    Null ends and self-loops are ignored; an empty edge table gives an empty result. Each round is stored in the
+    shared folder, so a lost executor costs that round only; the round before is deleted."""
     now = edges.where(f"{src} IS NOT NULL AND {dst} IS NOT NULL AND {src} != {dst}")
-    now = checkpoint(now.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
+    now = materialize(now.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "edges")
     before, state = None, _state(now)
     while state != before and state[0]:
-        before = state
-        now = checkpoint(_star(_star(now, small=False), small=True))
+        before, last = state, now
+        now = materialize(_star(_star(now, small=False), small=True), "edges")
         state = _state(now)
+        discard(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
