@@ -1,13 +1,14 @@
 """Toxicity: a linear classifier over character n-grams, features scaled by naive Bayes log-count ratios.
 
 Training takes a bounded sample of the labelled rows: SAMPLE rows of each label, those with the smallest hash of their
-id. Presence counts of hashed n-grams give the log-count ratios, the n-grams that differ significantly between the labels (FEATURES at most) are kept, and a logistic
-regression is fitted on the ratios of the n-grams that a text holds. Its bias is moved from the sample's label shares to
+id. Presence counts of hashed n-grams give the log-count ratios, all n-grams that differ significantly between the
+labels are kept, and a logistic regression is fitted on the ratios of the n-grams that a text holds. Its bias is moved from the sample's label shares to
 those of all training rows, so that scores do not depend on how much was sampled. Scoring reads every whole text once.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,14 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Orders of the n-grams, bits of their hash, kept features, sampled rows of each label (documented bounds).
-ORDERS, BITS, FEATURES, SAMPLE = (3, 4, 5), 20, 1 << 13, 4_000
+from lonja.llm.common import bounded_batches, trim
+
+#: Orders of the n-grams, bits of their hash, sampled rows of each label (a documented bound).
+ORDERS, BITS, SAMPLE = (3, 4, 5), 20, 4_000
 #: Score from which a text counts as toxic, and the texts held out: crc32(id as text) mod 4 = 2.
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 #: Standard errors by which the share of texts with an n-gram differs between the labels, for the n-gram to be kept:
 #: others would add up to noise in long texts.
 SIGNIFICANT = 4.5
-_PIECE = 1 << 20
+#: Characters hashed at a time, and entries of a block of rows in the fit (it stays in the cache).
+_PIECE, _BLOCK = 1 << 20, 1 << 17
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -56,6 +60,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
             total[label][_present(text.as_py())] += 1
+    trim()
     yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
 
 
@@ -69,16 +74,24 @@ def _picked(wanted):
 
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on the ratios of present features, full batches, adaptive steps."""
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    column = np.concatenate(rows) if rows else np.empty(0, np.int32)
-    value = ratio[column].astype(np.float32)
+    """Logistic regression on the ratios of present features, full batches, adaptive steps. Rows are taken block by
+    block, so that the memory besides the rows themselves is bounded."""
+    blocks, begin = [], 0
+    while begin < len(rows):
+        end, n = begin, 0
+        while end < len(rows) and (end == begin or n + len(rows[end]) <= _BLOCK):
+            end, n = end + 1, n + len(rows[end])
+        blocks.append((begin, end, np.repeat(np.arange(end - begin, dtype=np.int32), [len(r) for r in rows[begin:end]]), np.concatenate(rows[begin:end])))
+        begin = end
     w, b = np.zeros(len(ratio)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(owner, value * w[column], minlength=len(rows)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        g = np.append(np.bincount(column, value * error[owner], minlength=len(ratio)) + l2 * w / len(y), error.sum())
+        g, scaled = np.append(l2 * w / len(y), 0.0), ratio * w
+        for begin, end, owner, column in blocks:
+            z = np.bincount(owner, scaled[column], minlength=end - begin) + b
+            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[begin:end]) / len(y)
+            g[:-1] += ratio * np.bincount(column, error[owner], minlength=len(ratio))
+            g[-1] += error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -91,6 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows without id, label or text row are ignored; several labels of an id: the larger counts. With rows of fewer than
     two labels the model is the smoothed share of label 1."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     known = known.where(fold("id") != HELD_OUT).withColumn("h", F.xxhash64("id"))
     rows_of = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -110,8 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ratio = np.log(p / q) - np.log((1 - p) / (1 - q))
     share = total.sum(0) / (n[0] + n[1])
     strength = np.abs(total[1] / n[1] - total[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
-    best = np.argsort(-strength, kind="stable")[:FEATURES]
-    best = np.sort(best[strength[best] >= SIGNIFICANT])
+    best = np.flatnonzero(strength >= SIGNIFICANT)
     wanted = np.zeros(1 << BITS, bool)
     wanted[best] = True
     rows = texts.mapInArrow(_picked(spark.sparkContext.broadcast(wanted)), "toxic int, buckets binary").collect()
@@ -131,15 +144,18 @@ def fold(id_col: str):
 def score(docs: DataFrame, model: dict, text_col: str = "text", into: str = "_toxicity") -> DataFrame:
     """docs with a column ``into``: the score of each row's whole text, between 0 and 1. Null and empty texts: the
     score of a text without n-grams that count. Column names of docs may be anything but ``into``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights, bias = shared.value["weights"].astype(np.float64), shared.value["bias"]
+        trim()
+        weights, bias = shared.value["weights"], shared.value["bias"]
         wanted = weights != 0
         for part in texts:
-            z = np.array([weights[_present(t, wanted)].sum() for t in part]) + bias
+            z = np.array([weights[_present(t, wanted)].sum(dtype=np.float64) for t in part]) + bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        trim()
 
     return docs.withColumn(into, of(F.col(f"`{text_col}`")))
 
@@ -152,5 +168,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their columns."""
-    return score(docs, train(docs, labels)).where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    """The rows of docs that are not predicted toxic, with their columns, whatever these are called.
+
+    Null and empty texts have the score of a text without n-grams that count, which is below the threshold unless most
+    training rows are toxic. Rows with a null id are judged like others; repeated rows alike. An empty table: no rows.
+    Labels without two classes among the training rows give every row the same score."""
+    own = f"toxicity_{uuid.uuid4().hex}"
+    return score(docs, train(docs, labels), into=own).where(F.col(own) < THRESHOLD).drop(own)
