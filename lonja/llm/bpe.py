@@ -3,8 +3,8 @@
 1. Every task splits the words of its texts once and packs them, chunk by chunk (a bounded number of words), into a
    word list and, for each document, the positions of its words in that list. Chunks are stored as a bucketed table in
    the shared folder.
-2. The words of all chunks meet in one exchange by word. The distinct words of a partition are its part of the
-   distinct-word table: each is encoded once, wherever it occurs, and every (chunk, position) that has it takes its ids.
+2. The words of all chunks meet in one exchange by word and are sorted: the runs of equal words are the distinct-word
+   table. Each distinct word is encoded once, and every (chunk, position) that has it takes its ids.
 3. The ids return to their chunks by (chunk, position), packed; documents are put together there, and decoded by joining their
    ids with the id-to-piece table, which is shipped to the tasks. The stored side is bucketed by chunk and is not
    shuffled again.
@@ -30,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lonja.llm.common import shared_dir, trim
+from lonja.llm.common import bounded_batches, drop_at_end, scratch, trim
 
 #: Words and distinct words of a chunk at most, and text bytes of one output batch (a longer text stands alone).
 CHUNK_WORDS, CHUNK_DISTINCT, BATCH_BYTES = 3_000_000, 350_000, 4 << 20
+#: Words of the exchange whose ids a task holds before it packs them.
+FLUSH_WORDS = 400_000
 
 
 def word_splitter(spec: dict) -> Callable[[str], list[str]]:
@@ -127,7 +129,8 @@ def _chunked(spec: str):
 
 
 def _encoder(spec: str):
-    """Encodes the distinct words of a partition and packs, chunk by chunk, the places of its words and their ids."""
+    """Encodes words that come in order, so that equal words are neighbours and each distinct word is encoded once, and
+    packs, chunk by chunk, the places of the words and their ids. What is held is bounded by FLUSH_WORDS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for a task
@@ -137,26 +140,39 @@ def _encoder(spec: str):
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        table: dict[str, np.ndarray] = {}
-        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        held, n, last = [], 0, (None, None)
+
+        def flush() -> pa.RecordBatch:
+            chunk, place, length = (np.concatenate([h[k] for h in held]) for k in range(3))
+            flat = np.concatenate([h[3] for h in held])
+            begin = np.cumsum(length.astype(np.int64)) - length
+            order = np.argsort(chunk, kind="stable")
+            rows = []
+            for part in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1):
+                size = length[part].astype(np.int64)
+                upto = np.cumsum(size)
+                ids = flat[np.repeat(begin[part] - upto + size, size) + np.arange(upto[-1])]
+                rows.append((int(chunk[part[0]]), *(zlib.compress(_pack(x), 1) for x in (place[part], length[part], ids))))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["of_chunk", "places", "lengths", "ids"])
+
         for batch in batches:
-            words, chunks, places = batch.column(2).to_pylist(), np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            new = [w for w in dict.fromkeys(words) if w not in table]
-            for at in range(0, len(new), 1000):
-                for word, e in zip(new[at : at + 1000], tokenizer.encode_batch(new[at : at + 1000], add_special_tokens=False)):
-                    table[word] = np.array(e.ids, np.uint32)
-            ids = np.empty(len(words), object)
-            ids[:] = [table[w] for w in words]
-            order = np.argsort(chunks, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(chunks[order])) + 1) if len(order) else ():
-                own = ids[part]
-                found.setdefault(int(chunks[part[0]]), []).append((places[part].astype(np.uint32), np.array([len(x) for x in own], np.uint32), np.concatenate(own)))
-        del table
-        rows = []
-        for chunk, parts in found.items():
-            place, length, flat = (np.concatenate(x) for x in zip(*parts))
-            rows.append((chunk, zlib.compress(_pack(place), 1), zlib.compress(_pack(length), 1), zlib.compress(_pack(flat), 1)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["of_chunk", "places", "lengths", "ids"])
+            if not batch.num_rows:
+                continue
+            codes = batch.column(2).dictionary_encode()  # words in order of first sight
+            new = codes.dictionary.to_pylist()
+            known = [last[1]] if new[0] == last[0] else []
+            ids = known + [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(new[len(known) :], add_special_tokens=False)]
+            last = new[-1], ids[-1]
+            own = [ids[k] for k in codes.indices.to_pylist()]
+            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.uint32), np.array([len(x) for x in own], np.uint32), np.concatenate(own)))
+            n += batch.num_rows
+            if n >= FLUSH_WORDS:
+                yield flush()
+                held, n = [], 0
+        if held:
+            yield flush()
+        del held, last
+        trim()
 
     return run
 
@@ -209,16 +225,18 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     Special strings in a text are special tokens, as in the library. Null or empty texts: no ids, empty text. Null ids
     and repeated rows are returned as they are. An empty table: no rows. Other columns are ignored."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as file:
         spec = file.read()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     name = f"lonja_chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = rows.mapInArrow(_chunked(spec), "chunk long, doc_id long, codes binary, words array<struct<word:string,pos:int>>")
-    writer = chunks.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/lonja/{name}")
+    writer = chunks.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", scratch(spark, name))
+    drop_at_end(spark, name)
     writer.format("parquet").saveAsTable(name)
     stored = spark.table(name)
-    words = stored.where("words IS NOT NULL").select("chunk", F.explode("words").alias("w")).select("chunk", "w.pos", "w.word").repartition(buckets, "word")
+    words = stored.where("words IS NOT NULL").select("chunk", F.explode("words").alias("w")).select("chunk", "w.pos", "w.word").repartition(buckets, "word").sortWithinPartitions("word")
     vocabulary = words.mapInArrow(_encoder(spec), "of_chunk long, places binary, lengths binary, ids binary")
     texts = stored.where("words IS NULL").select("chunk", "doc_id", "codes")
     assemble = _assembler(spark.sparkContext.broadcast(pieces(json.loads(spec))))
