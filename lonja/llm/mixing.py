@@ -12,9 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructType
 
-from lonja.llm.common import materialize, words
+from lonja.llm.common import bounded_batches, materialize, trim, words
 
 #: Weights in turn, share of all words that is asked for, most passes over a source, words of a block, output shards.
 WEIGHTS, SHARE, MOST, BLOCK, SHARDS = (5, 2, 1), 1.5, 2, 64, 64
@@ -53,9 +53,15 @@ def targets(sizes: DataFrame) -> DataFrame:
     Sources in code-point order, null last, have weights 5, 2, 1 in turn. They share SHARE of all words by weight; a
     target stops at MOST times its source's size and the excess is shared anew. The level (words for each unit of
     weight) rises until no further source stops: a few sums, of which only the scalars reach the driver."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    # Ranks of any number of names: places in ranges of the order, plus the sizes of the ranges before (one row each).
+    order = F.col("source").asc_nulls_last()
+    ranges = materialize(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "source-ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    sizes = ranges.join(offsets, "part")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("offset")
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int"))
-    rows = materialize(sizes.withColumn("weight", weight.cast("double")), "source-sizes")
+    rows = materialize(sizes.withColumn("weight", weight.cast("double")).select("source", "source_size", "weight"), "source-sizes")
     total = rows.agg(F.sum("source_size")).first()[0] or 0
     level, stopped = 0.0, -1
     while total:
@@ -88,15 +94,24 @@ def _block_of(slot: pd.Series, blocks: pd.Series, h: pd.Series) -> pd.Series:
     return pd.Series(permuted(j % n, n, key))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of all columns of a row, except maps, which have no order."""
+    columns = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(7), *reversed(columns)).alias("b"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, shards: int = SHARDS) -> dict[str, DataFrame]:
     """Tables of a mix: ``documents`` (doc_id, size, source_size, target, taken), ``pieces`` (doc_id, row_key, begin,
     length, times: words begin..begin+length of the document, taken so often) and ``slots`` (source_key, shard, slot,
     block), the contents of the shards.
 
     Null and empty texts have size 0 and take 0. Null sources are one source, the last. Repeated rows are documents of
-    their own; rows with a null id take part. An empty table: no rows. Other columns are ignored. Equal inputs give equal
-    results: streams are ordered by id and text, draws and permutations are seeded by the source."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), F.xxhash64(id_col, text_col).alias("row_key"))
+    their own; rows with a null id take part. An empty table: no rows. Other columns only order rows that are equal in id
+    and text. Equal inputs give equal results: streams are ordered by id and text, draws and permutations are seeded by
+    the source."""
+    bounded_batches(docs.sparkSession)
+    named = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = docs.select(named[0].alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.size(words(named[1])).cast("long").alias("size"), F.xxhash64(*named).alias("order_key"), row_key(docs).alias("row_key"))
     # A null source and a source named like the key of null stay apart: the key has a prefix.
     rows = materialize(rows.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "document-sizes")
     return _mixed(rows, seed, shards)
@@ -105,11 +120,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def _mixed(rows: DataFrame, seed: int, shards: int) -> dict[str, DataFrame]:
     spark = rows.sparkSession
     streams = max(STREAMS, -(-rows.count() // DOCS_PER_STREAM))
-    rows = rows.withColumn("stream", F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(streams)).cast("int"))
+    rows = rows.withColumn("stream", F.pmod(F.xxhash64("order_key", F.lit(seed)), F.lit(streams)).cast("int"))
     wanted = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "source-targets")
     total = wanted.agg(F.sum("source_size")).first()[0] or 0
     shards = max(shards, -(-int(total * SHARE) // (BLOCK * SLOTS_PER_SHARD)))
-    of_stream = Window.partitionBy("source_key", "stream").orderBy("doc_id", "row_key", "size")
+    of_stream = Window.partitionBy("source_key", "stream").orderBy("doc_id", "order_key", "row_key")
     begin = F.sum("size").over(of_stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     tie = F.row_number().over(of_stream)
     packed = rows.where("size > 0").withColumn("begin", begin).withColumn("tie", tie)
@@ -145,10 +160,11 @@ def _cut(frames):
     """Texts of the taken words, pass by pass, with the white space between neighbouring words as it was."""
     import re
 
+    trim()
     word = re.compile(r"[^\x20\x09-\x0D]+")
     for pdf in frames:
         texts = []
-        for text, ranges in zip(pdf["_text"], pdf["_ranges"]):
+        for text, ranges in zip(pdf["text"], pdf["ranges"]):
             spans = [m.span() for m in word.finditer(text)]
             parts, last = [], None
             for begin, length in sorted((int(r["begin"]), int(r["length"])) for r in ranges):
@@ -159,31 +175,37 @@ def _cut(frames):
                     parts.append((a, b))
                 last = (begin, begin + length)
             texts.append("\n".join(text[a:b] for a, b in parts))
-        yield pdf.drop(columns=["_ranges"]).assign(_text=texts)
+        yield pdf.drop(columns=["ranges"]).assign(text=texts)
+    trim()
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
-    """The mix as documents with the columns of docs: a document has a row for each pass that takes words of it, whose
-    text is those words; ``chars_col``, if there, is their length."""
-    names = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64(id_col, text_col))
+    """The mix as documents with the columns of docs, whatever these are called: a document has a row for each pass that
+    takes words of it, whose text is those words; ``chars_col``, if there, is their length.
+
+    Null and empty texts take no words and give no row; rows with a null id or source take part like others. Repeated
+    rows each take their own words; rows that differ in any column but maps keep their own columns. An empty table: no
+    rows."""
+    rest = [c for c in docs.columns if c != text_col]
     pieces = mix(docs, id_col, text_col, source_col)["pieces"]
     passes = pieces.select("row_key", "tie", F.struct("begin", "length").alias("r"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("pass"))
-    ranges = passes.groupBy("row_key", "tie", "pass").agg(F.collect_list("r").alias("_ranges")).select(F.col("row_key").alias("_key"), F.col("_ranges"), "tie", "pass")
-    copies = keyed.dropDuplicates(["_key"])  # repeated rows are equal in id and text, each has its own ranges
-    joined = copies.join(ranges.hint("merge"), "_key").select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias("_text"), "_ranges")
-    fields = [f for f in docs.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _text string"
-    cut = joined.drop(text_col).withColumn(text_col, F.lit(None).cast("string")).select(*(F.col(f"`{c}`") for c in names), "_text", "_ranges").mapInPandas(_cut, schema)
+    ranges = passes.groupBy("row_key", "tie", "pass").agg(F.collect_list("r").alias("ranges")).select("row_key", "ranges")
+    # Rows are held in one struct, so that their names meet no others. Rows equal in all columns share it; each of them
+    # has ranges of its own.
+    held = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(None).alias("none"))
+    copies = docs.select(row_key(docs).alias("row_key"), held.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")).dropDuplicates(["row_key"])
+    joined = copies.join(ranges.hint("merge"), "row_key").select("row", "text", "ranges")
+    schema = StructType([joined.schema["row"], joined.schema["text"]])
+    cut = joined.mapInPandas(_cut, schema)
 
     def column(c: str) -> Column:
         if c == text_col:
-            return F.col("_text").alias(c)
+            return F.col("text").alias(c)
         if c == chars_col:
-            return F.length("_text").cast(docs.schema[c].dataType).alias(c)
-        return F.col(f"`{c}`")
+            return F.length("text").cast(docs.schema[c].dataType).alias(c)
+        return F.col("row")[c].alias(c)
 
-    return cut.select(*map(column, names))
+    return cut.select(*map(column, docs.columns))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
