@@ -9,6 +9,8 @@ the tail's distance from the median. The thresholds are joined back. No text is
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,32 +46,33 @@ def _covered(windows: Column) -> Column:
         after = F.when(i < last, F.get(pairs_ref, i + 1)["h"] == p["h"])
         return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
 
-    pairs_ref = F.col("_pairs")
+    pairs_ref = F.col("pairs")
     return pairs, kept
 
 
 def features(docs: DataFrame, text_col: str = "text", into: str = "_quality") -> DataFrame:
-    """docs with a struct column ``into``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    """docs with a struct column ``into``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines. Columns
+    of docs may have any names but ``into``. The features are costly: store the result before using it more than once."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     names = docs.columns
-    d = docs.select(*(F.col(f"`{c}`") for c in names), text.alias("_text")).withColumn("_words", words(F.col("_text")))
-    d = d.withColumn("_windows", _repeat_words(F.col("_words")))
-    distinct = F.size(F.array_distinct("_windows")) == F.size("_windows")
-    pairs, kept = _covered(F.col("_windows"))
-    d = d.withColumn("_pairs", F.when(distinct, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(pairs))
-    places = F.array_sort(F.transform(F.filter("_pairs", kept), lambda p: p["i"]))
-    d = d.withColumn("_places", places)
-    covered = F.aggregate("_places", F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")))["n"]
-    d = d.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: only_word_chars(x) != ""))
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), text.alias("text")).withColumn("words", words(F.col("text")))
+    d = d.withColumn("windows", _repeat_words(F.col("words")))
+    distinct = F.size(F.array_distinct("windows")) == F.size("windows")
+    pairs, kept = _covered(F.col("windows"))
+    d = d.withColumn("pairs", F.when(distinct, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(pairs))
+    places = F.array_sort(F.transform(F.filter("pairs", kept), lambda p: p["i"]))
+    d = d.withColumn("places", places)
+    covered = F.aggregate("places", F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")))["n"]
+    d = d.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: only_word_chars(x) != ""))
     found = F.struct(
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(only_word_chars(F.col("_text"))).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.size("words").cast("long").alias("n_words"),
+        F.length(only_word_chars(F.col("text"))).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
+        F.size("lines").cast("long").alias("n_lines"),
     )
-    return d.select(*(F.col(f"`{c}`") for c in names), found.alias(into))
+    return d.select(*(F.col("row")[c].alias(c) for c in names), found.alias(into))
 
 
 def base_failed(q: Column) -> Column:
@@ -148,23 +151,26 @@ def decided(limits: DataFrame) -> DataFrame:
     return limits.agg(F.count("*").alias("groups"), *(F.count_if(F.col(f"most_{k}") > NOISE).alias(k) for k in ("symbols", "dup_lines", "repeats")), F.count("longest").alias("length"))
 
 
-def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The columns ``keep`` of every row of docs, and a struct column _quality with the features, base_failed and kept.
+def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", source_col: str = "source", into: str = "_quality") -> DataFrame:
+    """The columns ``keep`` of every row of docs, whatever these are called, and a struct column ``into`` with the
+    features, base_failed and kept.
 
     Null texts are empty (base_failed). Null languages and sources are groups of their own. A group without texts that
     pass the base rules has no threshold: its rows are judged by the base rules alone. Repeated rows are judged alike.
-    An empty table: no rows. Other columns are ignored."""
-    inner = dict.fromkeys([*keep, lang_col, source_col])
-    need = [c for c in docs.columns if c in inner]
-    measured = features(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*need, text_col]))), text_col)
-    measured = materialize(measured.select(*(F.col(f"`{c}`") for c in need), "_quality"), "quality-features")
-    joined = _with(measured, thresholds(measured, lang_col, source_col), lang_col, source_col, "_limits")
-    q, t, r = F.col("_quality"), F.col("_limits"), _ratios(F.col("_quality"))
+    An empty table: no rows. Other columns are ignored. Sketches of up to about SKETCH_K rows are exact; larger ones
+    drop rows at random, so that limits of larger groups, rounded to hundredths, may differ by one step between runs."""
+    held = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None)
+    rows = docs.select(held.alias("row"), *(F.col(f"`{c}`").cast("string").alias(name) for c, name in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
+    measured = materialize(features(rows).select("row", "lang", "source", "_quality"), "quality-features")
+    joined = _with(measured, thresholds(measured, "lang", "source"), "lang", "source", "limits")
+    q, t, r = F.col("_quality"), F.col("limits"), _ratios(F.col("_quality"))
     fine = (r["symbols"] <= t["most_symbols"]) & (r["dup_lines"] <= t["most_dup_lines"]) & (r["repeats"] <= t["most_repeats"]) & r["length"].between(t["shortest"], t["longest"])
     verdict = F.struct("_quality.*", base_failed(q).alias("base_failed"), (~base_failed(q) & F.coalesce(fine, F.lit(True))).alias("kept"))
-    return joined.select(*(F.col(f"`{c}`") for c in keep), verdict.alias("_quality"))
+    return joined.select(*(F.col("row")[c].alias(c) for c in keep), verdict.alias(into))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with their columns."""
-    return judged(docs, docs.columns).where("_quality.kept").drop("_quality")
+    """The rows of docs that pass, with their columns, whatever these are called. Cases as in judged: null, empty and
+    very short texts go, rows with null languages, sources or ids are judged like others, repeated rows alike."""
+    own = f"quality_{uuid.uuid4().hex}"
+    return judged(docs, docs.columns, into=own).where(F.col(own)["kept"]).drop(own)
