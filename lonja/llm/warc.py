@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lonja.llm.common import shared_dir
+from lonja.llm.common import scratch
 
 #: Equal payloads of at least so many bytes are stored once.
 LEAST_REVISIT_BYTES = 100
@@ -102,19 +101,27 @@ class _Inflated(io.RawIOBase):
         return n
 
 
+_BROKEN = dict.fromkeys(("record_id", "uri", "date", "concurrent_to", "refers_to", "payload_digest", "payload_bytes", "payload", "fields")) | {"type": "broken"}
+
+
 def parse_records(content: bytes, with_payload: bool = True) -> Iterator[dict]:
-    """The records of one archive, by Content-Length. A broken tail ends the archive."""
+    """The records of one archive, by Content-Length. Where a line is no record start, or a block ends before its length,
+    the rest cannot be divided: it gives one record of type ``broken`` with its number of bytes, and ends the archive."""
     stream = io.BufferedReader(_Inflated(content), 1 << 18)
     while line := stream.readline():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
+            yield _BROKEN | {"payload_bytes": len(line) + sum(map(len, iter(lambda: stream.read(1 << 18), b"")))}
             return
         head = {}
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
         block = stream.read(int(head.get("content-length", 0)))
+        if len(block) < int(head.get("content-length", 0)):
+            yield _BROKEN | {"record_id": head.get("warc-record-id"), "uri": head.get("warc-target-uri"), "payload_bytes": len(block)}
+            return
         kind, fields, payload, size, digest = head.get("warc-type"), {}, None, None, None
         if kind in ("response", "revisit"):
             http, _, payload = block.partition(b"\r\n\r\n")
@@ -171,7 +178,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, with_payload: bool = False) -> DataFrame:
     """Writes pages as archives into the shared folder, reads them back and assembles the captures."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/lonja/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write_warc(pages, path)
     return assemble(read_warc(spark, path, with_payload))
 
