@@ -1,17 +1,19 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
-Plan, with no cap anywhere. Pairs inside a component are not emitted; step 3 emits pairs of different components that
-share a short list and pass the filters, and one task reads a whole short list:
+Plan, with no cap anywhere. No step emits the pairs of a group: queries are sent to blocks of members. One task sorts
+a whole short list:
 
 1. One pass hashes every whole text into its shingle set, gives equal sets one node, and counts shingles in a
    mergeable table of counters (fixed number of buckets). Buckets over a threshold are *frequent*.
 2. Every node lists its shingles in one global order, frequent ones last. Of n shingles a partner shares at least
    ceil(0.8 n), so it must also occur in one of the first n - ceil(0.8 n) + 1 lists: the short lists.
-3. In each short list every node is compared with the list's first nodes only; components follow. Then only pairs of
-   nodes of *different* components that share a short list are compared. Components therefore are those of all links.
-4. Pairs whose shingles are spread too differently over the ranges of the hash cannot reach the overlap and go.
-5. A comparison is a T-occurrence search of one query node over a block of members: inverted lists of the query's
-   shingles, the short ones merged on a heap, the long ones probed by binary search (DivideSkip).
+3. In each short list every node is compared with the list's first nodes only; components follow. Then the nodes of
+   lists that hold several components ask the blocks with nodes of other components. Components therefore are those of
+   all links.
+4. Queries and members whose shingles are spread too differently over the ranges of the hash to reach the overlap with
+   any other in the block go before their sets are fetched.
+5. A block's inverted lists are built once, for all queries sent to it. A query is a T-occurrence search: its short
+   lists are merged on a heap, the long ones probed by binary search for the members that remain (DivideSkip).
 
 Sets are held as 64-bit hashes; two different shingles of a compared pair share one with a probability near
 size^2 / 2^64.
@@ -20,6 +22,7 @@ size^2 / 2^64.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lonja.llm.common import materialize
+from lonja.llm.common import bounded_batches, discard, materialize, trim
 from lonja.llm.graph import connected_components
 from lonja.llm.shingles import shingle_sets
 
@@ -40,6 +43,8 @@ SIMILARITY = (80, 100)
 _BLOCK = 1 << 14
 #: First nodes of a short list with which all its nodes are compared before components are formed.
 PIVOTS = 4
+#: Shingles of a block of members (8 bytes each; a longer set stands alone), and entries merged on a heap at most.
+BLOCK_SHINGLES, HEAP = 1 << 17, 512
 
 
 def need(n: int, num: int = SIMILARITY[0], den: int = SIMILARITY[1]) -> int:
@@ -76,21 +81,26 @@ def _counts(spread: bytes) -> np.ndarray:
     return np.frombuffer(spread, {256: np.uint8, 512: np.uint16, 1024: np.uint32}[len(spread)]).astype(np.int64)
 
 
-def _coarse(shingles: np.ndarray) -> list[int] | None:
-    """Counts in 128 ranges, for comparison inside a join; none where one does not fit into a byte."""
-    counts = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=128)
-    return counts.tolist() if counts.max() < 128 else None
-
-
-def _may_overlap(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Drops pairs whose spreads prove too small an overlap: it is at most the sum of the ranges' smaller counts."""
-    for pdf in frames:
-        keep = []
-        for at in range(0, len(pdf), 1024):
-            part = pdf.iloc[at : at + 1024]
-            a, b = (np.stack([_counts(x) for x in part[c]]) for c in ("a", "b"))
-            keep.append(np.minimum(a, b).sum(1) >= overlap_needed(a.sum(1), b.sum(1)))
-        yield pdf.loc[np.concatenate(keep), ["query", "member"]] if keep else pdf[["query", "member"]]
+def _possible(group: pd.DataFrame) -> pd.DataFrame:
+    """The queries and members of a block that may link: the overlap of two sets is at most the sum of the ranges'
+    smaller counts."""
+    sizes, spread = group["n"].to_numpy(), [_counts(x) for x in group["spread"]]
+    asks, parts, keep = group["asks"].to_numpy(), group["component"].to_numpy(), np.zeros(len(group), bool)
+    members = np.flatnonzero(~asks)
+    members = members[np.argsort(sizes[members], kind="stable")]
+    if len(members):
+        held = np.stack([spread[k] for k in members])
+        held = held.astype(np.uint8 if held.max() < 1 << 8 else np.uint32)
+        begin = np.searchsorted(sizes[members], need(sizes), "left")
+        end = np.searchsorted(sizes[members], sizes * SIMILARITY[1] // SIMILARITY[0], "right")
+        for k in np.flatnonzero(asks):
+            near = members[begin[k] : end[k]]
+            near_held = held[begin[k] : end[k]]
+            common = np.minimum(near_held, np.minimum(spread[k], np.iinfo(held.dtype).max).astype(held.dtype)).sum(1, dtype=np.int64)
+            found = near[(common >= overlap_needed(sizes[k], sizes[near])) & (parts[near] != parts[k])]
+            keep[found] = True
+            keep[k] = len(found) > 0
+    return group.loc[keep, ["block", "node", "component", "asks"]]
 
 
 def _first_pass(n: int, bits: int):
@@ -159,6 +169,7 @@ def _short_lists(n: int, bits: int, frequent):
                 lengths = [len(x) for x in lists[1:]]
                 columns = np.concatenate(lists).view(np.int64), np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths), np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in lengths)])
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "n", "pos"])
+        trim()
 
     return run
 
@@ -168,7 +179,7 @@ def _spreads(n: int):
         for batch in batches:
             for part in _pieces(batch):
                 sets = [s for s in shingle_sets(part.column(0), n) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([_spread(s) for s in sets], pa.binary()), pa.array([_coarse(s) for s in sets], pa.list_(pa.int8()))], ["node", "spread", "coarse"])
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_spread(s) for s in sets], pa.binary())], ["node", "n", "spread"])
 
     return run
 
@@ -183,63 +194,83 @@ def _sets(n: int):
     return run
 
 
-def divide_skip(query: np.ndarray, members: list[np.ndarray]) -> list[int]:
-    """Indices of the members whose Jaccard similarity with the query reaches the threshold.
-
-    The query's inverted lists over the members are sorted by length. The L longest are set aside; the others are
-    merged on a heap, and a member must occur in T - L of them, where T is its required overlap. Each member that
-    does is looked up in the long lists by binary search."""
-    if not len(query) or not members:
-        return []
-    sizes = np.array([len(m) for m in members])
-    required = overlap_needed(len(query), sizes)
-    flat = np.concatenate(members)
-    place = np.minimum(np.searchsorted(query, flat), len(query) - 1)
-    hit = query[place] == flat
-    owner = np.repeat(np.arange(len(members)), sizes)[hit]
-    order = np.lexsort((owner, place[hit]))
-    owner, place = owner[order], place[hit][order]
-    ends = np.searchsorted(place, np.arange(len(query) + 1))
-    lists = sorted((owner[a:b] for a, b in zip(ends[:-1], ends[1:]) if b > a), key=len)
-    least = int(required.min())
-    n_long = min(len(lists), least - 1, int(least / (0.0085 * math.log(max(2, len(members))) + 1)))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    seen = np.zeros(len(members), np.int64)
-    last, run = -1, 0
-    for k in heapq.merge(*(x.tolist() for x in short)):
-        if k == last:
-            run += 1
-        else:
-            if last >= 0:
-                seen[last] = run
-            last, run = k, 1
-    if last >= 0:
-        seen[last] = run
-    candidates = np.flatnonzero(seen >= np.maximum(1, required - n_long))
-    total = seen[candidates]
-    for x in long:
-        at = np.minimum(np.searchsorted(x, candidates), len(x) - 1)
-        total += x[at] == candidates
-    return candidates[total >= required[candidates]].tolist()
+class Lists:
+    """Inverted lists of a block of members, built once: the members (ascending) of every shingle of the block."""
+
+    def __init__(self, members: list[np.ndarray]):
+        self.sizes = np.array([len(m) for m in members], np.int64)
+        flat = np.concatenate(members) if members else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        flat, self.owners = flat[order], np.repeat(np.arange(len(members)), self.sizes)[order]
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, np.int64)
+        self.shingles, self.ends = flat[first], np.append(first, len(flat))
+
+    def search(self, query: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+        """Indices of the (allowed) members whose Jaccard similarity with the query reaches the threshold.
+
+        T-occurrence search by DivideSkip: the query's lists are ordered by length and the L longest set aside. The
+        others are merged, and a member must occur in T - L of them, where T is its required overlap. Only those that
+        do are looked up in the long lists, by binary search, and only while they can still reach T."""
+        none = np.empty(0, np.int64)
+        if not len(query) or not len(self.sizes):
+            return none
+        required = overlap_needed(len(query), self.sizes)
+        least = int(required.min())
+        at = np.minimum(np.searchsorted(self.shingles, query), len(self.shingles) - 1)
+        at = at[self.shingles[at] == query]
+        if len(at) < least:
+            return none
+        at = at[np.argsort(self.ends[at + 1] - self.ends[at], kind="stable")]
+        n_long = max(0, min(least - 1, int(least / (0.0085 * math.log(max(2, len(self.sizes))) + 1))))
+        short, long = at[: len(at) - n_long], at[len(at) - n_long :]
+        seen = _merged([self.owners[self.ends[k] : self.ends[k + 1]] for k in short], len(self.sizes))
+        enough = seen >= np.maximum(1, required - n_long)
+        candidates = np.flatnonzero(enough if allowed is None else enough & allowed)
+        total = seen[candidates]
+        for left, k in zip(range(n_long - 1, -1, -1), long[::-1]):
+            if not len(candidates):
+                return none
+            x = self.owners[self.ends[k] : self.ends[k + 1]]
+            total += x[np.minimum(np.searchsorted(x, candidates), len(x) - 1)] == candidates
+            alive = total + left >= required[candidates]
+            if not alive.all():
+                candidates, total = candidates[alive], total[alive]
+        return candidates[total >= required[candidates]]
+
+
+def _merged(lists: list[np.ndarray], n: int) -> np.ndarray:
+    """How many of the ascending lists hold each of n members: a merge on a heap; beyond HEAP entries a stable sort of
+    the runs, which merges them too and is faster there."""
+    seen = np.zeros(n, np.int64)
+    if sum(map(len, lists)) > HEAP:
+        found, times = np.unique(np.concatenate(lists), return_counts=True)
+        seen[found] = times
+        return seen
+    for k, run in itertools.groupby(heapq.merge(*(x.tolist() for x in lists))):
+        seen[k] = sum(1 for _ in run)
+    return seen
 
 
 def _search(group: pd.DataFrame) -> pd.DataFrame:
-    """One query (in its own row it is the member too) over one block of members."""
-    own = group["member"] == group["query"]
-    query, rest = np.frombuffer(group.loc[own, "shingles"].iloc[0], np.uint64), group[~own]
-    found = divide_skip(query, [np.frombuffer(x, np.uint64) for x in rest["shingles"]])
-    hits = rest["member"].to_numpy()[found]
-    return pd.DataFrame({"src": np.full(len(hits), group["query"].iloc[0], np.int64), "dst": hits})
-
-
-def _verified(candidates: DataFrame, sets: DataFrame, block: int = 256) -> DataFrame:
-    """Links among (query, member) candidates. Members of a query are dealt into blocks of about ``block``."""
-    counted = candidates.groupBy("query").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = candidates.join(counted, "query").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks"))).select("query", "member", "block")
-    members = dealt.join(sets.withColumnRenamed("node", "member"), "member").select("query", "block", "member", "shingles")
-    queries = dealt.select("query", "block").distinct().join(sets.withColumnRenamed("node", "query"), "query")
-    queries = queries.select("query", "block", F.col("query").alias("member"), "shingles")
-    return members.unionByName(queries).groupBy("query", "block").applyInPandas(_search, "src long, dst long")
+    """All queries of a block against its members of other components."""
+    asks = group[group["asks"]]
+    members = group[~group["asks"]]
+    lists, nodes, parts = Lists([np.frombuffer(x, np.uint64) for x in members["shingles"]]), members["node"].to_numpy(), members["component"].to_numpy()
+    src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for query, component, shingles in zip(asks["node"], asks["component"], asks["shingles"]):
+        hits = nodes[lists.search(np.frombuffer(shingles, np.uint64), parts != component)]
+        src.append(np.full(len(hits), query, np.int64))
+        dst.append(hits)
+    return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+
+
+def _blocks(homes: DataFrame) -> DataFrame:
+    """(node, block) of nodes (node, n, home): nodes of one home come together in blocks of about BLOCK_SHINGLES; small
+    homes share a block, large ones are dealt over several."""
+    total = homes.agg(F.sum("n")).first()[0] or 0
+    parts = homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    salt = F.pmod(F.xxhash64("node"), F.col("parts"))
+    return homes.join(parts, "home").select("node", F.pmod(F.xxhash64("home", salt), F.lit(-(-total // BLOCK_SHINGLES) or 1)).alias("block"))
 
 
 def _among(docs: DataFrame, key: str, keys: DataFrame, bits: int = 24) -> DataFrame:
@@ -260,6 +291,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A null id: component_id null, linked with nothing. Repeated rows: each is returned. An empty table: no rows.
     Other columns of docs are ignored."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = sketch_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     passed = materialize(rows.mapInArrow(_first_pass(n, bits), "doc_id long, n_shingles long, node long, block int, counts binary"), "shingle-counts")
@@ -292,33 +324,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """A text of each of these nodes, and a few others."""
         return _among(rows.where("doc_id IS NOT NULL"), "doc_id", heads.join(nodes, "node").select("doc_id")).select("text")
 
-    spreads = texts_of(shared.select("node").distinct()).mapInArrow(_spreads(n), "node long, spread binary, coarse array<tinyint>")
-    spreads = materialize(spreads.groupBy("node").agg(F.first("spread").alias("spread"), F.first("coarse").alias("coarse")), "spreads")
+    spreads = texts_of(shared.select("node").distinct()).mapInArrow(_spreads(n), "node long, n long, spread binary")
+    spreads = materialize(spreads.groupBy("node").agg(F.first("n").alias("n"), F.first("spread").alias("spread")), "spreads")
 
-    def links_among(candidates, name):
-        """Links of (query, member) candidates; only the texts that may link are hashed again."""
-        pairs = candidates.join(spreads.select(F.col("node").alias("query"), F.col("spread").alias("a")), "query").join(spreads.select(F.col("node").alias("member"), F.col("spread").alias("b")), "member").select("query", "member", "a", "b")
-        candidates = materialize(pairs.mapInPandas(_may_overlap, "query long, member long"), name + "-pairs")
-        ends = candidates.select(F.col("query").alias("node")).union(candidates.select("member")).distinct()
-        sets = texts_of(ends).mapInArrow(_sets(n), "node long, shingles binary")
+    def links_among(asks, blocks, name):
+        """Links of queries with the members of blocks; only the texts that may link are hashed again."""
+        both = asks.withColumn("asks", F.lit(True)).unionByName(blocks.withColumn("asks", F.lit(False))).join(spreads, "node")
+        both = materialize(both.groupBy("block").applyInPandas(_possible, "block long, node long, component long, asks boolean"), name + "-ends")
+        sets = texts_of(both.select("node").distinct()).mapInArrow(_sets(n), "node long, shingles binary")
         sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
-        return materialize(_verified(candidates, sets), name)
-
-    links = links_among(stars, "star-links")
+        links = materialize(both.join(sets, "node").groupBy("block").applyInPandas(_search, "src long, dst long"), name)
+        discard(both, sets)
+        return links
+
+    # Stars: a list's nodes are members, its first nodes the queries; a member's home is its smallest query.
+    sizes = shared.groupBy("node").agg(F.first("n").alias("n"))
+    homes = stars.groupBy(F.col("member").alias("node")).agg(F.min("query").alias("home")).join(sizes, "node")
+    blocks = materialize(_blocks(homes).withColumn("component", F.col("node")), "star-blocks")
+    asks = stars.join(blocks.withColumnRenamed("node", "member"), "member").select(F.col("query").alias("node"), F.col("query").alias("component"), "block").distinct()
+    links = links_among(asks, blocks, "star-links")
+    discard(stars, blocks)
     parts = connected_components(links)
 
-    # Lists that still hold several components: compare the nodes of different components.
+    # Lists that still hold several components: their nodes are dealt into blocks, and a node asks a block in which one
+    # of its lists has a node of another component whose size and place allow a link.
     placed = shared.join(parts, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
-    left = materialize(placed.join(mixed, "shingle", "left_semi").join(spreads.select("node", "coarse"), "node"), "mixed-lists")
-    a, b = left.alias("a"), left.alias("b")
-    common = F.aggregate(F.zip_with("a.coarse", "b.coarse", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda total, x: total + x)
-    enough = common >= F.ceil((F.col("a.n") + F.col("b.n")) * SIMILARITY[0] / sum(SIMILARITY))
-    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") < F.col("b.component")) & may_link(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")) & (F.col("a.coarse").isNull() | F.col("b.coarse").isNull() | enough))
-    pairs = pairs.select(F.least("a.node", "b.node").alias("query"), F.greatest("a.node", "b.node").alias("member")).distinct()
-    pairs = materialize(pairs.join(stars, ["query", "member"], "left_anti"), "cross-candidates")
-    links = links.unionByName(links_among(pairs, "cross-links"))
-    parts = connected_components(links)
+    left = materialize(placed.join(mixed, "shingle", "left_semi"), "mixed-lists")
+    homes = left.groupBy("node").agg(F.first("n").alias("n"), F.min("shingle").alias("home"))
+    component = left.groupBy("node").agg(F.first("component").alias("component"))
+    blocks = materialize(_blocks(homes).join(component, "node"), "mixed-blocks")
+    held = left.join(blocks.select("node", "block"), "node").groupBy("shingle", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    t = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1]))) * SIMILARITY[0] / sum(SIMILARITY))
+    sizes_fit = (F.col("most") * SIMILARITY[1] >= F.col("n") * SIMILARITY[0]) & (F.col("n") * SIMILARITY[1] >= F.col("least") * SIMILARITY[0])
+    other = (F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component"))
+    asks = left.join(held, "shingle").where(other & sizes_fit & (F.least(F.col("n") - F.col("pos"), F.col("rest")) >= t))
+    more = links_among(asks.select("node", "component", "block").distinct(), blocks, "mixed-links")
+    discard(blocks, left, shared)
+    parts = connected_components(links.unionByName(more))
 
     placed = ids.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     heads = placed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("head"))

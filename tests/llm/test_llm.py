@@ -71,7 +71,7 @@ def test_shingles_match_plain_sets():
     assert [len(s) for s in shingle_sets(pa.array(texts))] == [len(_shingles(t)) for t in texts]
 
 
-def test_divide_skip():
+def test_divide_skip(monkeypatch):
     r = np.random.default_rng(1)
     for _ in range(30):
         query = np.unique(r.integers(0, 300, 120).astype(np.uint64))
@@ -80,11 +80,15 @@ def test_divide_skip():
             m = query[r.random(len(query)) > r.choice([0.02, 0.1, 0.5])]
             members.append(np.unique(np.concatenate((m, r.integers(300, 900, r.integers(0, 25)).astype(np.uint64)))))
         expected = [i for i, m in enumerate(members) if 100 * len(np.intersect1d(query, m)) >= 80 * len(np.union1d(query, m))]
-        assert ngram_join.divide_skip(query, members) == expected
+        for heap in (10, 10**6):
+            monkeypatch.setattr(ngram_join, "HEAP", heap)
+            assert ngram_join.Lists(members).search(query).tolist() == expected
 
 
-def test_jaccard_components(spark):
-    texts = _texts()
+@pytest.mark.parametrize("block", [1 << 18, 200])
+def test_jaccard_components(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+    texts = _texts(seed=block % 7, groups=9)
     sets = [_shingles(t) for t in texts]
     edges = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     expected = {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, _roots(len(sets), edges)))}
