@@ -105,3 +105,23 @@ def html_escaped(text: Column) -> Column:
 def csv_cell(value: Column) -> Column:
     """A quoted cell, quotes doubled, null empty."""
     return F.concat(F.lit('"'), F.replace(F.coalesce(value.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def number_text(x: Column) -> Column:
+    """A number as plain text, without a fraction where it is whole."""
+    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+
+
+def money_text(x: Column, digits: int = 2) -> Column:
+    """Fixed digits, null as zero."""
+    return F.format_string(f"%.{digits}f", F.coalesce(x, F.lit(0.0)))
+
+
+def currency_text(x: Column, symbol: str = "US$", digits: int = 2) -> Column:
+    """An amount as Argentines write it: symbol, no-break space, points for thousands, a comma for the fraction."""
+    plain = F.translate(F.format_number(F.abs(F.coalesce(x, F.lit(0.0))), digits), ",.", ".,")
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.lit(symbol + "\u00a0"), plain)
+
+
+def csv_line(*cells: Column) -> Column:
+    return F.concat_ws(",", *map(csv_cell, cells))

@@ -66,3 +66,8 @@ def markups(spark: SparkSession) -> DataFrame:
 
 def price_ranges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRICE_RANGES, "cat string, least double, most double, warn double")
+
+
+# Gross-income rate by jurisdiction, and the rate elsewhere.
+GROSS_INCOME = {"cab": 0.025, "pba": 0.035, "santa_fe": 0.03}
+GROSS_DEFAULT = 0.025

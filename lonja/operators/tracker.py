@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lonja.functions import rules
@@ -47,7 +47,35 @@ def rollups(records: DataFrame) -> DataFrame:
     )
 
 
-def numbered(records: DataFrame, start: int = 0) -> DataFrame:
-    """IMP-0001 and on, in the order of the record keys, without a single-task window: offsets by range partition."""
-    spread = records.repartitionByRange("record").sortWithinPartitions("record").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    return spread.withColumn("number", F.col("at") + start)
+def numbered(rows: DataFrame, order: str, start: int = 0, prefix: str = "IMP-", into: str = "number") -> DataFrame:
+    """rows with PREFIX0001 and on in the order of a unique key, after a counter that is never used again.
+
+    No single-task window: a place within a range of keys, plus the sizes of the ranges before (one row each)."""
+    ranged = rows.repartitionByRange(F.col(order).asc_nulls_last())
+    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(F.col(order).asc_nulls_last()))).persist()  # the ranges are drawn once
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    number = F.col("_at") + F.col("_before") + start
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(into, F.concat(F.lit(prefix), F.lpad(number.cast("string"), F.greatest(F.lit(4), F.length(number.cast("string"))), "0"))).drop("_part", "_at", "_before")
+
+
+def board(records: DataFrame) -> DataFrame:
+    """Records of each status in the fixed order of the life cycle, statuses without records included."""
+    order = records.sparkSession.createDataFrame(list(enumerate(rules.STATUSES)), "position int, status string")
+    n = records.groupBy("status").agg(F.count("*").alias("n"), F.min("record").alias("first_record"))
+    return order.join(n, "status", "left").select("position", "status", F.coalesce("n", F.lit(0)).alias("n"), "first_record")
+
+
+def relevant_date(status: Column, dates: dict[str, Column]) -> Column:
+    """The date of the current status, else the latest known date before it in the life cycle."""
+    order = [s for s in rules.STATUSES if s in dates]
+    out = F.lit(None)
+    for k, s in enumerate(order):
+        out = F.when(status == s, F.coalesce(*(dates[x] for x in reversed(order[: k + 1])))).otherwise(out)
+    return out
+
+
+def fresh(at: Column, now: Column, seconds: int = 300) -> Column:
+    """Whether a cached value is younger than its time to live."""
+    return F.coalesce((F.unix_timestamp(now) - F.unix_timestamp(at)) < seconds, F.lit(False))

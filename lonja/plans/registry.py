@@ -8,7 +8,7 @@ from lonja.functions import exprs, rules
 from lonja.operators import catalog as cat
 from lonja.operators import audit, costing, images, mutations, quality, search, spatial, tracker
 from lonja.plans import domain as d
-from lonja.sources import files, sinks
+from lonja.sources import files
 
 
 def _r2(x: str) -> str:
@@ -40,11 +40,11 @@ _COSTED = f"""{d.SQL_LINES}, m AS {_MARKUPS}, t AS {_TARIFFS},
 o AS (SELECT order_id, {_r2('sum(fob * qty)')} AS order_fob, sum(qty) AS order_qty, avg({_r0('duty * 100')}::INT) / 100::DOUBLE AS duty_rate FROM (SELECT lines.*, t.duty FROM lines JOIN t ON t.tariff_key = {_KEY}) GROUP BY order_id),
 n AS (SELECT *, order_fob + order_fob * (15::DOUBLE / 100) + order_fob * (2::DOUBLE / 100) AS cif FROM o),
 n2 AS (SELECT *, cif + cif * duty_rate + cif * (3::DOUBLE / 100) + cif * (6::DOUBLE / 100) + order_qty * 8::DOUBLE AS net, cif * (21::DOUBLE / 100) AS vat_total FROM n),
-u AS (SELECT l.order_id, line, sku, fob, qty, order_fob, net, vat_total, cat_markup, CASE WHEN order_fob > 0 THEN {_r2('fob * net / order_fob')} WHEN order_qty > 0 THEN {_r2('net / order_qty')} ELSE 0 END AS unit_cost FROM lines l JOIN n2 USING (order_id) LEFT JOIN m USING (cat)),
+u AS (SELECT l.order_id, line, sku, cat, marca, modelo, variante, fob, qty, order_fob, net, vat_total, cat_markup, CASE WHEN order_fob > 0 THEN {_r2('fob * net / order_fob')} WHEN order_qty > 0 THEN {_r2('net / order_qty')} ELSE 0 END AS unit_cost FROM lines l JOIN n2 USING (order_id) LEFT JOIN m USING (cat)),
 v AS (SELECT *, {_r2('unit_cost * coalesce(cat_markup, 2.5::DOUBLE)')} AS price FROM u),
 costed AS (SELECT order_id, line, sku, fob, qty, order_fob, {_r2('net')} AS order_net, unit_cost, price, {_r2('vat_total * (CASE WHEN order_fob > 0 THEN fob * qty / order_fob ELSE 0 END)')} AS line_vat,
   {_r0(_over('(price - unit_cost) * 100', 'price'))} AS margin_pct, {_r0(_over('(price - unit_cost) * 100', 'unit_cost'))} AS roi_pct FROM v)"""
-_TOTALS = f"""{_COSTED}, s AS (SELECT order_id, any_value(order_fob) AS order_fob, any_value(order_net) AS order_net, {_r2('sum(price * qty)')} AS revenue, count(*) AS n_lines FROM costed GROUP BY order_id),
+_TOTALS = f"""{_COSTED}, s AS (SELECT order_id, any_value(order_fob) AS order_fob, any_value(order_net) AS order_net, {_r2('sum(price * qty)')} AS revenue, count(*) AS n_lines, sum(qty) AS units FROM costed GROUP BY order_id),
 s2 AS (SELECT *, {_r2('revenue - order_net')} AS margin FROM s), totals AS (SELECT *, {_r0(_over('margin * 100', 'revenue'))} AS margin_pct FROM s2)"""
 _FENCES = """f AS (SELECT cat, count(*) AS total, list_sort(list(fob)) AS v FROM catalog WHERE fob > 0 GROUP BY cat HAVING count(*) >= 4),
 q AS (SELECT cat, v[floor(total * 0.25::DOUBLE)::INT + 1] AS q1, v[floor(total * 0.5::DOUBLE)::INT + 1] AS median, v[floor(total * 0.75::DOUBLE)::INT + 1] AS q3 FROM f)"""
@@ -62,13 +62,13 @@ def _totals(s, sf):
 QUERIES = {
     "d1_order_costing": _costed,
     "d17_order_totals": _totals,
-    "d5_courier_warnings": lambda s, sf: costing.courier_warnings(d.lines(s, sf)),
+    "d5_courier_warnings": lambda s, sf: costing.courier_warnings(d.lines(s, sf), unit_kg=0.5),
     "d6_door_to_door": lambda s, sf: costing.door_to_door(d.lines(s, sf)),
     "d7_courier_regime": lambda s, sf: costing.courier_regime(d.lines(s, sf)),
     "d10_landed_verdict": lambda s, sf: d.records(s, sf).select("record", costing.landed_verdict(F.col("landed"), F.col("local_price")).alias("verdict")),
     "d14_profitability": lambda s, sf: tracker.profitability(d.records(s, sf)),
-    "d15_scenarios": lambda s, sf: costing.scenarios(_totals(s, sf), [0.9, 1.0, 1.1], [0.8, 1.0, 1.2]),
-    "d16_break_even": lambda s, sf: _totals(s, sf).select("order_id", costing.break_even_units(F.lit(1000.0), F.col("revenue"), F.col("order_net"), F.col("n_lines")).alias("units")),
+    "d15_scenarios": lambda s, sf: costing.scenarios(d.lines(s, sf), [1260.0, 1400.0, 1540.0], [-20.0, 0.0, 20.0]),
+    "d16_break_even": lambda s, sf: _totals(s, sf).select("order_id", costing.break_even_units(F.lit(1000.0), F.col("revenue"), F.col("order_net"), F.col("units")).alias("units")),
     "a2_kpis": lambda s, sf: cat.kpis(d.catalog(s, sf)),
     "a3_facets": lambda s, sf: cat.facets(d.catalog(s, sf)),
     "a4_supplier_comparison": lambda s, sf: cat.supplier_comparison(d.catalog(s, sf)),
@@ -101,8 +101,6 @@ QUERIES = {
     "j14_grounding": lambda s, sf: spatial.grounded(d.page_items(s, sf).where("price IS NULL"), d.page_items(s, sf).where("price IS NOT NULL")),
     "s4_products": lambda s, sf: files.products(d.raw_list(s, sf)),
     "s4_skipped": lambda s, sf: files.skipped(d.raw_list(s, sf)),
-    "k1_order_csv": lambda s, sf: sinks.order_csv(_costed(s, sf)),
-    "k3_packing_list": lambda s, sf: sinks.packing_list(_costed(s, sf)),
     "dm2_set_prices": lambda s, sf: mutations.set_prices(d.catalog(s, sf), d.price_updates(s, sf)),
     "dm3_delete": lambda s, sf: mutations.delete(d.catalog(s, sf), d.cart(s, sf).where("qty = 0")),
     "dm5_merge_cart": lambda s, sf: mutations.merge_cart(d.cart(s, sf), d.cart(s, sf).where("qty > 2").select("sku", (F.lit(3.0) - F.col("qty")).alias("delta"))),
@@ -115,13 +113,20 @@ QUERIES = {
     "st1_status_replay": lambda s, sf: tracker.replay(d.status_events(s, sf)),
 }
 
-_DOOR = f"""{d.SQL_LINES}, t AS {_TARIFFS},
+
+
+def _door(tariffs: str, bp: str) -> str:
+    return f"""{d.SQL_LINES}, t AS {tariffs},
 r AS (SELECT lines.*, t.* FROM lines JOIN t ON t.tariff_key = {_KEY}),
-o AS (SELECT order_id, {_r2('sum(fob * qty)')} AS total, sum(qty) AS units, bool_or(list_contains(certs, 'SEGURIDAD_ELECTRICA_SMARK')) AS mark FROM r GROUP BY order_id),
-b AS (SELECT r.*, total, CASE WHEN mark THEN 850::DOUBLE ELSE 0::DOUBLE END AS cert_usd, CASE WHEN total > 0 THEN fob * qty / total WHEN units > 0 THEN qty / units ELSE 0 END AS share FROM r JOIN o USING (order_id)),
-c AS (SELECT *, (total + total * 0.15::DOUBLE + total * 0.01::DOUBLE) * share AS cif FROM b),
-e AS (SELECT *, cif * duty AS duty_usd, cif * fee AS fee_usd FROM c), g AS (SELECT *, cif + duty_usd + fee_usd AS base, (300::DOUBLE + cert_usd) * share AS extra FROM e)
-SELECT order_id, line, sku, ncm, {_r2('cif')} AS cif, {_r2('duty_usd')} AS duty_usd, {_r2('fee_usd')} AS fee_usd, {_r2('base * vat + base * vat_add + base * income + base * gross')} AS recoverable_usd, cert_usd, {_r2('base + extra')} AS door_usd, {_r2(_over('base + extra', 'qty'))} AS unit_door_usd FROM g"""
+o AS (SELECT order_id, {_r2('sum(fob * qty)')} AS total, sum(qty) AS units, {' + '.join(f"CASE WHEN bool_or(list_contains(certs, '{k}')) THEN {usd}::DOUBLE ELSE 0 END" for k, usd in rules.CERTIFICATES)} AS cert_usd FROM r GROUP BY order_id),
+b AS (SELECT r.*, total, cert_usd, CASE WHEN total > 0 THEN fob * qty / total WHEN units > 0 THEN qty / units ELSE 0 END AS share FROM r JOIN o USING (order_id)),
+c AS (SELECT *, (total + total * 0.15::DOUBLE + total * 0.015::DOUBLE) * share AS cif FROM b),
+e AS (SELECT *, cif * duty AS duty_usd, cif * fee AS fee_usd FROM c), g AS (SELECT *, cif + duty_usd + fee_usd AS base, (720::DOUBLE + cert_usd) * share AS extra FROM e),
+h AS (SELECT *, base * vat AS vat_usd, base * vat_add + base * income + base * gross AS paid FROM g), door AS (SELECT *, base + paid + base * {bp}::DOUBLE + extra AS out FROM h)
+SELECT order_id, line, sku, ncm, {_r2('cif')} AS cif, {_r2('duty_usd')} AS duty_usd, {_r2('fee_usd')} AS fee_usd, {_r2('vat_usd')} AS vat_usd, {_r2('vat_usd + paid')} AS recoverable_usd, {_r2('base')} AS real_usd, cert_usd, {_r2('out')} AS door_usd, {_r2(_over('out', 'qty'))} AS unit_door_usd FROM door"""
+
+
+_DOOR = _door(_TARIFFS, "0")
 _CHECKS = f"""{d.SQL_CATALOG}, rg AS {_RANGES},
 k AS (SELECT c.*, array_to_string(list_filter([CASE WHEN fob IS NULL OR fob <= 0 THEN 'NO_PRICE' END, CASE WHEN fob > 0 AND (fob < least OR fob > most) THEN 'PRICE_RANGE' END, CASE WHEN fob >= warn AND fob <= most THEN 'PRICE_HIGH' END, CASE WHEN trim(coalesce(modelo, '')) = '' THEN 'NO_MODEL' END], lambda x: x IS NOT NULL), ',') AS issues FROM catalog c LEFT JOIN rg USING (cat)),
 checks AS (SELECT sku, cat, fob, issues, CASE WHEN issues LIKE '%NO_%' OR issues LIKE '%RANGE%' THEN 'RED' WHEN issues <> '' THEN 'YELLOW' ELSE 'GREEN' END AS status FROM k)"""
@@ -158,13 +163,17 @@ ORACLE_SQL = {
     "s4_skipped": f"WITH {d.SQL_CATALOG} SELECT count(*) FILTER (row_seq % 10 = 0) AS no_model, count(*) FILTER (row_seq % 10 <> 0 AND (row_seq % 7 = 0 OR floor(fob) = 0)) AS no_price FROM catalog",
     "d1_order_costing": f"WITH {_COSTED} SELECT * FROM costed",
     "d17_order_totals": f"WITH {_TOTALS} SELECT *, CASE WHEN margin_pct >= 40 THEN 'healthy' WHEN margin_pct >= 20 THEN 'tight' ELSE 'low' END AS band FROM totals",
-    "d5_courier_warnings": f"WITH {d.SQL_LINES}, o AS (SELECT order_id, {_r2('sum(fob * qty)')} AS fob_total, count(*) FILTER (qty > 3) AS n_commercial FROM lines GROUP BY order_id), w AS (SELECT *, array_to_string(list_filter([CASE WHEN fob_total > 3000 THEN 'COURIER_FOB_EXCEEDED' END, CASE WHEN n_commercial > 0 THEN 'COURIER_COMMERCIAL_QTY' END], lambda x: x IS NOT NULL), ',') AS warnings FROM o) SELECT * FROM w WHERE warnings <> ''",
+    "d5_courier_warnings": f"""WITH {d.SQL_LINES}, o AS (SELECT order_id, {_r2('sum(fob * qty)')} AS fob_total, sum(qty) * 0.5::DOUBLE AS kg, count(*) FILTER (qty > 3) AS n_commercial FROM lines GROUP BY order_id),
+w AS (SELECT *, array_to_string(list_filter([CASE WHEN fob_total > 3000 THEN 'COURIER_FOB_EXCEEDED' END, CASE WHEN kg > 50 THEN 'COURIER_WEIGHT_EXCEEDED' END, CASE WHEN n_commercial > 0 THEN 'COURIER_SPECIES_WARNING' END], lambda x: x IS NOT NULL), ',') AS warnings FROM o) SELECT * FROM w WHERE warnings <> ''""",
     "d6_door_to_door": f"WITH {_DOOR}",
-    "d7_courier_regime": f"WITH {d.SQL_LINES}, o AS (SELECT order_id, {_r2('sum(fob * qty)')} AS fob_total FROM lines GROUP BY order_id), c AS (SELECT *, fob_total + fob_total * 0.15::DOUBLE + fob_total * 0.01::DOUBLE AS cif FROM o), e AS (SELECT *, greatest(0::DOUBLE, cif - 400) * 0.5::DOUBLE AS duty, cif * 0.21::DOUBLE AS vat FROM c) SELECT order_id, fob_total, {_r2('cif')} AS cif, {_r2('duty')} AS duty_usd, {_r2('vat')} AS vat_usd, {_r2('cif + duty')} AS net_usd, {_r2('cif + duty + vat')} AS cash_usd FROM e",
+    "d7_courier_regime": f"WITH {d.SQL_LINES}, o AS (SELECT order_id, {_r2('sum(fob * qty)')} AS fob_total FROM lines GROUP BY order_id), c AS (SELECT *, fob_total + fob_total * 0.15::DOUBLE + fob_total * 0.015::DOUBLE AS cif FROM o), e AS (SELECT *, greatest(0::DOUBLE, cif - 400) * 0.5::DOUBLE AS duty, cif * 0.21::DOUBLE AS vat FROM c) SELECT order_id, fob_total, {_r2('cif')} AS cif, {_r2('duty')} AS duty_usd, {_r2('vat')} AS vat_usd, {_r2('cif + duty')} AS net_usd, {_r2('cif + duty + vat')} AS cash_usd FROM e",
     "d10_landed_verdict": f"WITH {d.SQL_RECORDS} SELECT record, CASE WHEN local_price IS NULL OR local_price <= 0 THEN 'unavailable' WHEN abs(local_price - landed) < 1e-6 THEN 'break_even' WHEN landed < local_price THEN 'cheaper' ELSE 'more_expensive' END AS verdict FROM records",
     "d14_profitability": f"WITH {d.SQL_RECORDS} SELECT record, status, landed, local_price, {_r2('local_price - landed')} AS profit, CASE WHEN local_price IS NOT NULL THEN {_r2(_over('(local_price - landed) * 100', 'landed'))} END AS roi_pct, CASE WHEN local_price IS NULL THEN 'unavailable' ELSE 'known' END AS verdict FROM records",
-    "d15_scenarios": f"WITH {_TOTALS}, f AS (SELECT * FROM (VALUES (0.9::DOUBLE), (1::DOUBLE), (1.1::DOUBLE)) x(fx_factor), (VALUES (0.8::DOUBLE), (1::DOUBLE), (1.2::DOUBLE)) y(freight_factor)), c AS (SELECT order_id, fx_factor, freight_factor, {_r2('order_net + order_fob * 0.15::DOUBLE * (freight_factor - 1)')} AS cost_usd FROM totals, f) SELECT *, {_r2('cost_usd * 1400::DOUBLE * fx_factor')} AS cost_local, {_r2('cost_usd / (1 - 0.3::DOUBLE)')} AS target_revenue FROM c",
-    "d16_break_even": f"WITH {_TOTALS}, p AS (SELECT order_id, {_over('revenue - order_net', 'n_lines')} AS profit FROM totals) SELECT order_id, CASE WHEN profit > 0 THEN ceil(1000::DOUBLE / profit) ELSE 0 END::BIGINT AS units FROM p",
+    "d15_scenarios": f"""WITH {_COSTED}, f AS (SELECT * FROM (VALUES (1260::DOUBLE), (1400::DOUBLE), (1540::DOUBLE)) x(rate), (VALUES (-20::DOUBLE), (0::DOUBLE), (20::DOUBLE)) y(freight_change)),
+x AS (SELECT order_id, order_fob, order_qty, duty_rate, {_r2('net')} AS order_net, rate, freight_change, order_fob + order_fob * (15::DOUBLE * (1 + freight_change / 100) / 100) + order_fob * (2::DOUBLE / 100) AS cif2 FROM n2, f),
+c AS (SELECT *, {_r2('cif2 + cif2 * duty_rate + cif2 * (3::DOUBLE / 100) + cif2 * (6::DOUBLE / 100) + order_qty * 8::DOUBLE')} AS cost_usd FROM x), g AS (SELECT *, cost_usd * (1 / (1 - 35::DOUBLE / 100)) AS goal FROM c)
+SELECT order_id, rate, freight_change, cost_usd, {_r2('cost_usd - order_net')} AS cost_change, {_r2('goal')} AS target_revenue, {_r2('goal - cost_usd')} AS target_margin, {_r0('goal * rate')} AS target_local FROM g""",
+    "d16_break_even": f"WITH {_TOTALS}, p AS (SELECT order_id, {_over('revenue - order_net', 'units')} AS profit FROM totals) SELECT order_id, CASE WHEN profit > 0 THEN ceil(1000::DOUBLE / profit) ELSE 0 END::BIGINT AS units FROM p",
     "a2_kpis": f"WITH {d.SQL_CATALOG} SELECT count(*) AS n, count(DISTINCT marca) AS brands, coalesce(min(fob) FILTER (fob > 0), 0) AS least, greatest(coalesce(max(fob), 0), 0) AS most, {_r2('coalesce(avg(fob) FILTER (fob > 0), 0)')} AS mean FROM catalog",
     "a3_facets": f"WITH {d.SQL_CATALOG} SELECT DISTINCT facet, value FROM (SELECT 'marca' AS facet, marca AS value FROM catalog UNION ALL SELECT 'cat', cat FROM catalog) WHERE value IS NOT NULL AND value <> ''",
     "a4_supplier_comparison": f"WITH {d.SQL_CATALOG}, k AS (SELECT *, lower(trim(modelo)) AS model_key FROM catalog), w AS (SELECT *, count(*) OVER g AS offers, min(fob) OVER g AS least, max(fob) OVER g AS most, row_number() OVER (PARTITION BY model_key ORDER BY fob, row_seq) AS place FROM k WHERE length(model_key) >= 3 WINDOW g AS (PARTITION BY model_key)) SELECT model_key, sku, fob, offers, least, most, {_r2('most - least')} AS diff, {_r2(_over('(most - least) * 100', 'least'))} AS diff_pct, place = 1 AS best, {_r2('fob - least')} AS over_best FROM w WHERE offers > 1",
