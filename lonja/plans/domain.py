@@ -92,3 +92,45 @@ SQL_RECORDS = """records AS (SELECT o_orderkey AS record, CASE WHEN o_orderstatu
   CASE WHEN o_orderkey % 7 <> 0 THEN floor(o_totalprice * (0.8::DOUBLE + (o_orderkey % 5)::DOUBLE / 10::DOUBLE) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE END AS local_price FROM orders)"""
 SQL_IMAGED = SQL_CATALOG + """, imaged AS (SELECT *, CASE WHEN row_seq % 6 <> 0 THEN 'img' || (row_seq % 700) END AS img, CASE WHEN row_seq % 13 = 0 THEN 'RED' ELSE 'GREEN' END AS status FROM catalog)"""
 SQL_ITEMS = """items AS (SELECT *, CASE WHEN item % 3 = 0 THEN fob END AS price FROM (SELECT o_orderkey AS item, o_custkey % 5 AS file, o_orderkey % 20 AS page, (o_custkey % 30 * 10)::DOUBLE AS x, floor(o_totalprice % 60) * 15::DOUBLE AS y, (o_custkey % 3)::DOUBLE AS fob FROM orders))"""
+
+
+#: Model names and source texts as supplier lists have them (every rule of the text functions meets some of them).
+MODELS = [
+    "AJ139 Pro", "Magnetic Switch T9", "Gateron Red Switch", "Hall Effect", "S98 Glacier Axis Universe", "M720 Wireless Mouse", "F75 Gasket Keyboard", "Ultra Crystalblade Gleam", "Master Wireless Mouse", "Rose", "Standard", "3.60±0.30mm",
+    "PC SeaSalt PA Silent 47 5g POM", "Cobra (Black", "Total 45", "$12.50", "item", "x", "", "Flagship PRO 68 Keys", "104 Keys PBT keycaps", "Premium Charging Dock", "PAW3395 sensor", "K", "Receiver", "Mini", "Keyboard stand for desk", "Backpack 15 inch",
+    "Specs sheet", "Viper V3 (White Edition)", "Cloud II headset", "Numeric keypad NP20", "a5", "Smart TV 50", "Coffee maker espresso", "Purple", "Legend", "Lake",
+]
+RAWS = [
+    "8BitDo Ultimate 2C $18.50", "Attack Shark X3 ¥$25", "RK61 keyboard USD$ 1,299.00", "ATK RS6 $0.05", "logitech g502 mouse $ 45.5", "KZ ZSN Pro earphone", "6941234567890 Razer viper v3", "haimu seasalt switch $0.12", "AULA F75 $39,90", "MODEL AB123 generic",
+    "MCHOSE K7 fan", "mars75 iyx printer", "no brand 12$45", "keychron monitor 144hz", "$1,299.00", "€12,50", "12.345.678", "1,5,5", "philips hairclipper HC5610",
+]
+FILES = ["8BitDo list.pdf", "RK Catalog 2024.pdf", "kz damulin.xlsx", "MARS iyx.pdf", "keyboard switch.csv", "attack.pdf", "prices.csv", "KZ.pdf"]
+BRANDS = ["KZ", "Haimu", "8BitDo", "OTRO", "", "Razer", "AULA", "Polaroid"]
+IMAGES = ["data:image/png;base64,iVBORw0KGgo=", "data:image/png;base64,", "data:image/webp;abc", "http://x/y.png", None]
+
+
+def _pick(values: list, k, shift: int = 0):
+    return F.element_at(F.array(*(F.lit(x) for x in values)), (F.pmod(k + shift, F.lit(len(values))) + 1).cast("int"))
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog as extracted rows: names and texts of supplier lists, odd images, grounding and status included."""
+    k = F.col("row_seq")
+    c = catalog(spark, sf)
+    model = F.when(k % 3 == 0, F.col("modelo")).otherwise(_pick(MODELS, k))
+    return c.select(
+        F.when(k % 17 == 0, "").when(k % 19 == 0, "bad sku!").otherwise(F.col("sku")).alias("sku"), F.when(k % 4 == 0, _pick(BRANDS, F.floor(k / 4).cast("long"))).otherwise(F.col("marca")).alias("marca"), model.alias("modelo"),
+        F.when(k % 23 == 0, model).when(k % 29 == 0, "$9.99").otherwise(F.col("variante")).alias("variante"), "cat", F.when(k % 31 == 0, 0.0).otherwise(F.col("fob")).alias("fob"), _pick(IMAGES, k, 2).alias("img"),
+        F.when(k % 5 == 0, False).when(k % 11 != 0, True).alias("grounded"), _pick(["", "GREEN", "YELLOW", "RED", "odd"], F.floor(k / 7).cast("long")).alias("source_status"), _pick(RAWS, k, 3).alias("raw"), _pick(FILES, k).alias("file"), (k % 40).alias("page"), "row_seq",
+    )
+
+
+def _sql_pick(values: list, k: str, shift: int = 0) -> str:
+    cells = ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in values)
+    return f"list_extract([{cells}]::VARCHAR[], (({k} + {shift}) % {len(values)} + 1)::INT)"
+
+
+_SQL_MODEL = f"CASE WHEN row_seq % 3 = 0 THEN modelo ELSE {_sql_pick(MODELS, 'row_seq')} END"
+SQL_ROWS = SQL_CATALOG + f""", rows AS (SELECT CASE WHEN row_seq % 17 = 0 THEN '' WHEN row_seq % 19 = 0 THEN 'bad sku!' ELSE sku END AS sku, CASE WHEN row_seq % 4 = 0 THEN {_sql_pick(BRANDS, 'row_seq // 4')} ELSE marca END AS marca, {_SQL_MODEL} AS modelo,
+  CASE WHEN row_seq % 23 = 0 THEN {_SQL_MODEL} WHEN row_seq % 29 = 0 THEN '$9.99' ELSE variante END AS variante, cat, CASE WHEN row_seq % 31 = 0 THEN 0::DOUBLE ELSE fob END AS fob, {_sql_pick(IMAGES, 'row_seq', 2)} AS img,
+  CASE WHEN row_seq % 5 = 0 THEN false WHEN row_seq % 11 <> 0 THEN true END AS grounded, {_sql_pick(['', 'GREEN', 'YELLOW', 'RED', 'odd'], 'row_seq // 7')} AS source_status, {_sql_pick(RAWS, 'row_seq', 3)} AS raw, {_sql_pick(FILES, 'row_seq')} AS file, row_seq % 40 AS page, row_seq FROM catalog)"""
