@@ -36,3 +36,16 @@ def status_by(rows: DataFrame, group: str) -> DataFrame:
     """Counts of the three statuses for each group, by a pivot with fixed values."""
     table = rows.groupBy(group).pivot("status", ["GREEN", "YELLOW", "RED"]).count()
     return table.select(group, *(F.coalesce(c, F.lit(0)).alias(c.lower()) for c in ("GREEN", "YELLOW", "RED")))
+
+
+def calibration(rows: DataFrame, truth: str, before: str, after: str) -> DataFrame:
+    """False positives and negatives before and after a change of a gate; it is rejected if either rises."""
+    t, b, a = F.col(truth) == 1, F.col(before) == 1, F.col(after) == 1
+    counts = rows.agg(F.count_if(~t & b).alias("fp_before"), F.count_if(~t & a).alias("fp_after"), F.count_if(t & ~b).alias("fn_before"), F.count_if(t & ~a).alias("fn_after"))
+    return counts.withColumn("rejected", (F.col("fp_after") > F.col("fp_before")) | (F.col("fn_after") > F.col("fn_before")))
+
+
+def badges(catalog: DataFrame, cart: DataFrame, records: DataFrame) -> DataFrame:
+    """One row of the counts that the navigation shows."""
+    parts = [catalog.agg(F.count("*").alias("products")), cart.agg(F.count_if(F.col("qty") > 0).alias("cart_lines"), F.sum("qty").alias("units")), records.agg(F.count_if(~F.col("status").isin("delivered", "cancelled")).alias("active_imports"))]
+    return parts[0].join(parts[1]).join(parts[2])  # one row each

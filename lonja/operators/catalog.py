@@ -91,13 +91,76 @@ def allocated_sku() -> Column:
 
 def upsert(catalog: DataFrame, batch: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Merges an import into a catalog by identity key: update where the price differs by the tolerance, skip where it
-    does not, insert the rest. Of rows of the batch with one key the last counts; rows without a model are inserted."""
+    does not, insert the rest. The whole new catalog, with the action on each row.
+
+    Of catalog rows with one key the first takes the update, the others are kept; of rows of the batch with one key the
+    last counts; rows without a model are kept and inserted as they are. Columns are those of the catalog."""
     key = identity_key(*(F.col(c) for c in ("marca", "modelo", "variante", "cat")))
     named = F.coalesce(F.trim("modelo"), F.lit("")) != ""
-    incoming = batch.withColumn("k", F.when(named, key))
-    last = incoming.where("k IS NOT NULL").groupBy("k").agg(F.max_by(F.struct("sku", "fob"), "row_seq").alias("new"))
-    held = catalog.withColumn("k", F.when(named, key)).where("k IS NOT NULL").groupBy("k").agg(F.min_by(F.struct("sku", "fob"), "row_seq").alias("old"))
-    merged = held.join(last, "k", "full_outer")
+    names = catalog.columns
+    incoming = batch.select(*names).withColumn("k", F.when(named, key))
+    last = incoming.where("k IS NOT NULL").groupBy("k").agg(F.max_by(F.struct(*names), "row_seq").alias("new"))
+    held = catalog.withColumn("k", F.when(named, key)).withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("row_seq")))
+    first, rest = held.where("k IS NOT NULL AND place = 1"), held.where("k IS NULL OR place > 1")
+    merged = first.select("k", F.struct(*names).alias("old")).join(last, "k", "full_outer")
     action = F.when(F.col("new").isNull(), "keep").when(F.col("old").isNull(), "insert").when(F.abs(F.col("new.fob") - F.col("old.fob")) >= tolerance, "update").otherwise("skip")
-    known = merged.select("k", F.coalesce("old.sku", "new.sku").alias("sku"), F.when(action.isin("update", "insert"), F.col("new.fob")).otherwise(F.col("old.fob")).alias("fob"), action.alias("action"))
-    return known.unionByName(incoming.where("k IS NULL").select("k", "sku", "fob", F.lit("insert").alias("action")))
+    fob = F.when(action == "update", F.col("new.fob"))
+    out = merged.select(*(F.coalesce(*([fob] if c == "fob" else []), F.col("old")[c], F.col("new")[c]).alias(c) for c in names), action.alias("action"))
+    return out.unionByName(rest.select(*names, F.lit("keep").alias("action"))).unionByName(incoming.where("k IS NULL").select(*names, F.lit("insert").alias("action")))
+
+
+def allocate(batch: DataFrame, existing: DataFrame) -> DataFrame:
+    """(row_seq, sku, how) of a batch: the sku of its identity if the catalog knows it, else its own sku if that is free
+    or its identity's, else a generated one, salted where that is taken. Rows of one identity get one sku.
+
+    Identities and skus are settled by windows on their own keys, so no row waits for the one before it; of identities
+    that want one sku the first row's has it."""
+    key = identity_key(*(F.col(c) for c in ("marca", "modelo", "variante", "cat")))
+
+    def clean(c: str) -> Column:
+        return F.upper(F.trim(F.coalesce(c, F.lit(""))))
+
+    held = existing.withColumn("k", key).where(clean("sku") != "")
+    known = held.groupBy("k").agg(F.min_by(F.trim("sku"), "row_seq").alias("known"))
+    used = held.groupBy(clean("sku").alias("want")).agg(F.min_by("k", "row_seq").alias("owner"))
+    rows = batch.withColumns({"k": key, "source": clean("sku"), "made": allocated_sku()})
+    leader = rows.groupBy("k").agg(F.min_by(F.struct("source", "made", "row_seq"), "row_seq").alias("l")).select("k", "l.*").join(known, "k", "left")
+    leader = leader.withColumn("want", F.when(F.col("known").isNull() & (F.col("source") != ""), F.col("source"))).join(used, "want", "left")
+    turn = F.row_number().over(Window.partitionBy(F.coalesce("want", F.concat(F.lit(" "), "k"))).orderBy("row_seq"))
+    own = F.col("want").isNotNull() & ((F.col("owner").isNull() & (turn == 1)) | F.coalesce(F.col("owner") == F.col("k"), F.lit(False)))
+    leader = leader.withColumn("how", F.when(F.col("known").isNotNull(), "known").when(own, "source").otherwise("generated")).drop("owner")
+    taken = used.select(F.col("want").alias("made"), F.lit(True).alias("taken")).distinct()
+    again = F.row_number().over(Window.partitionBy("made").orderBy(F.when(F.col("how") == "generated", 0).otherwise(1), "row_seq"))
+    leader = leader.withColumn("again", again).join(taken, "made", "left")
+    salted = F.concat("made", F.lit("-"), F.upper(F.substring(F.sha2("k", 256), 1, 8)))
+    sku = F.when(F.col("how") == "known", F.col("known")).when(F.col("how") == "source", F.col("source")).otherwise(F.when((F.col("again") > 1) | F.col("taken").isNotNull(), salted).otherwise(F.col("made")))
+    return rows.select("row_seq", "k").join(leader.select("k", sku.alias("sku"), "how"), "k").select("row_seq", "sku", "how")
+
+
+def sku_mapping(batch: DataFrame, allocated: DataFrame) -> DataFrame:
+    """(row_seq, old_sku, new_sku, kind): preserved, generated or deduplicated, for the receipt of a migration."""
+    both = batch.select("row_seq", F.trim(F.coalesce("sku", F.lit(""))).alias("old_sku")).join(allocated.select("row_seq", F.col("sku").alias("new_sku")), "row_seq")
+    return both.withColumn("kind", F.when(F.col("old_sku") == F.col("new_sku"), "preserved").when(F.col("old_sku") == "", "generated").otherwise("deduplicated"))
+
+
+def receipt(mapping: DataFrame) -> DataFrame:
+    """One row: how many skus each kind has, and an order-free identity of the input for idempotence checks."""
+    return mapping.agg(F.count("*").alias("total"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("preserved", "generated", "deduplicated")), F.sum("row_seq").alias("input_identity"))
+
+
+def code_lookup(codes: DataFrame, table: DataFrame) -> DataFrame:
+    """Tariff rows of codes (code), whatever dots and spaces stand in either; the first row of a code counts."""
+    plain = table.withColumn("plain", F.regexp_replace("ncm", r"[.\s]", "")).groupBy("plain").agg(F.min_by(F.struct(*table.columns), "tariff_key").alias("t"))
+    return codes.withColumn("plain", F.regexp_replace("code", r"[.\s]", "")).join(F.broadcast(plain), "plain", "left").select("code", "t.*")
+
+
+def duty_rates(matrix: DataFrame, quoted: DataFrame) -> DataFrame:
+    """The duty of every category: that of the tariff database for its code where it has one, else the matrix's."""
+    db = quoted.groupBy("ncm").agg(F.min("duty").alias("quoted"))
+    return matrix.join(db, "ncm", "left").select("tariff_key", "ncm", F.coalesce("quoted", "duty").alias("duty"), F.col("quoted").isNotNull().alias("overridden"))
+
+
+def corrected(catalog: DataFrame, corrections: DataFrame, exemptions: DataFrame) -> DataFrame:
+    """Side-channel corrections by sku (sku, new_modelo), and a flag on exempt rows."""
+    fixed = catalog.join(corrections.groupBy("sku").agg(F.max("new_modelo").alias("new_modelo")), "sku", "left")
+    return fixed.join(exemptions.select("sku", F.lit(True).alias("exempt")).distinct(), "sku", "left").select("row_seq", "sku", F.coalesce("new_modelo", "modelo").alias("modelo"), F.coalesce("exempt", F.lit(False)).alias("exempt"))

@@ -4,7 +4,7 @@ Nearest-above joins run as one ordered pass over a page's items and headers toge
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lonja.functions.exprs import round2
@@ -46,3 +46,63 @@ def grounded(rows: DataFrame, anchors: DataFrame, column: float = 40.0, toleranc
     distance = F.abs(F.col("y") - F.col("ay")) + F.abs(F.col("x") - F.col("ax"))
     best = joined.where(fits).groupBy("item").agg(F.min(F.struct(distance.alias("distance"), "anchor")).alias("b"))
     return rows.join(best, "item", "left").select("item", F.col("b.anchor").alias("anchor"), round2(F.col("b.distance")).alias("distance"), F.col("b").isNotNull().alias("grounded"))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, dx: float, above: float, below: float, keys: list[str] | None = None) -> DataFrame:
+    """Pairs (l, r) of one page, |r.x - l.x| <= dx and -above <= r.y - l.y <= below: an equi-join on page and y cell, the
+    left side given to the cells in reach, so that a page's pairs are never all made."""
+    keys, cell = list(keys or _PAGE), max(above + below, 1.0)
+    cells = F.explode(F.array_distinct(F.array(F.floor((F.col("y") - above) / cell), F.floor((F.col("y") + below) / cell))))
+    a = left.select(*keys, F.struct(*left.columns).alias("l"), cells.alias("cell"))
+    b = right.select(*keys, F.struct(*right.columns).alias("r"), F.floor(F.col("y") / cell).alias("cell"))
+    return a.join(b, [*keys, "cell"]).where((F.abs(F.col("r.x") - F.col("l.x")) <= dx) & (F.col("r.y") - F.col("l.y")).between(-above, below)).drop("cell")
+
+
+def image_candidates(products: DataFrame, images: DataFrame, dx: float = 200.0, above: float = 100.0, below: float = 250.0) -> DataFrame:
+    """Candidate images of products on their page, with the distance."""
+    pairs = near_pairs(products, images, dx, above, below)
+    return pairs.select(F.col("l.item").alias("item"), F.col("r.item").alias("image"), round2(F.hypot(F.col("r.x") - F.col("l.x"), F.col("r.y") - F.col("l.y"))).alias("distance"))
+
+
+def siblings(items: DataFrame, dy: float = 30.0) -> DataFrame:
+    """(item, n): other items of its row, on the same page within dy."""
+    pairs = near_pairs(items, items, float("1e12"), dy, dy).where("l.item != r.item")
+    n = pairs.groupBy(F.col("l.item").alias("item")).agg(F.count("*").alias("n"))
+    return items.select("item").join(n, "item", "left").select("item", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def cell_texts(anchors: DataFrame, items: DataFrame, width: float = 70.0, above: float = 60.0, below: float = 15.0) -> DataFrame:
+    """Text items in the box of each price anchor: how many, and the first in reading order."""
+    pairs = near_pairs(anchors, items, width, above, below).where("l.item != r.item")
+    return pairs.groupBy(F.col("l.item").alias("anchor")).agg(F.count("*").alias("n"), F.min(F.struct(F.col("r.y"), F.col("r.x"), F.col("r.item"))).alias("f")).select("anchor", "n", F.col("f.item").alias("first"))
+
+
+def matched_truth(truth: DataFrame, extracted: DataFrame, reach: float = 60.0) -> DataFrame:
+    """The nearest extracted item (sum of the axes' distances) of each true one on its page within reach."""
+    pairs = near_pairs(truth, extracted, reach, reach, reach)
+    distance = F.abs(F.col("r.x") - F.col("l.x")) + F.abs(F.col("r.y") - F.col("l.y"))
+    best = pairs.groupBy(F.col("l.item").alias("item")).agg(F.min(F.struct(distance.alias("d"), F.col("r.item").alias("m"))).alias("b"))
+    return truth.select("item").join(best, "item", "left").select("item", F.col("b.m").alias("match"), F.col("b.d").alias("distance"))
+
+
+def recovered_models(items: DataFrame, generic: Column, reach: float = 250.0) -> DataFrame:
+    """Items with a generic model (a bare colour or status) take the model of a parent of their brand and category: one of
+    the same price on the same page or the one before (500 farther), the nearest; else the nearest above within reach.
+
+    An equi-join on file, brand, category and page; a parent is given to its own and the next page."""
+    keys = ["file", "marca", "cat"]
+    rows = items.where(generic)
+    parents = items.where(~generic & (F.trim("modelo") != ""))
+    given = parents.select(*keys, F.struct("item", "modelo", "fob", "y", "page").alias("q"), F.explode(F.array(F.col("page"), F.col("page") + 1)).alias("page"))
+    pairs = rows.select(*keys, "page", "item", "y", "fob").join(given, [*keys, "page"])
+    before = F.col("q.page") != F.col("page")
+    same = F.abs(F.col("fob") - F.col("q.fob")) <= 0.01
+    over = ~same & ~before & (F.col("q.y") < F.col("y")) & (F.col("y") - F.col("q.y") <= reach)
+    distance = F.abs(F.col("y") - F.col("q.y")) + F.when(before, 500.0).otherwise(0.0)
+    best = pairs.where(same | over).groupBy("item").agg(F.min(F.struct(F.when(same, 0).otherwise(1).alias("tier"), distance.alias("d"), F.col("q.item").alias("parent"), F.col("q.modelo").alias("modelo"))).alias("b"))
+    return rows.select("item").join(best, "item", "left").select("item", F.col("b.parent").alias("parent"), F.col("b.modelo").alias("modelo"))
+
+
+def median_y(items: DataFrame) -> DataFrame:
+    """The middle y of each page, the mean of the two middle ones where their number is even."""
+    return items.groupBy(*_PAGE).agg(F.median("y").alias("median_y"))
