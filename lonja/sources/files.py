@@ -67,4 +67,4 @@ def extension(name: Column) -> Column:
 
 def route(name: Column) -> Column:
     n = F.lower(name)
-    return F.when(n.contains("pedido") | n.contains("order"), "order").when(n.contains("catalog") | n.contains("lista"), "catalog").otherwise("unknown")
+    return F.when(n.contains("pedido") | n.contains("order") | n.contains("packing"), "order").when(n.contains("catalog") | n.contains("producto"), "catalog").otherwise("unknown")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lonja.operators import catalog, costing, quality, spatial
+from lonja.operators import catalog, costing, quality, spatial, tracker
 from lonja.sources import files, sinks
 
 
@@ -19,10 +19,14 @@ def test_csv_list(spark, tmp_path):
 
 def test_exports(spark):
     lines = spark.createDataFrame([(1, 1, "A", "m", "v", "OTRO", 10.0, 2.0), (1, 2, "B", "m", "v", "OTRO", 5.0, 1.0)], "order_id int, line int, sku string, modelo string, variante string, cat string, fob double, qty double")
-    costed = costing.order_costing(lines)
-    rows = sinks.packing_list(costed).orderBy(F.col("number").asc_nulls_last()).collect()
-    assert [(r["number"], r["sku"], r["qty"], r["kg"], r["fob_total"]) for r in rows] == [(1, "A", 2, 0.5, 20), (2, "B", 1, 0.25, 5), (None, "TOTALES", 3, 0.75, 25)]
-    assert sinks.order_csv(costed).orderBy("line").first()["text"].startswith('"A","2.00","10.00"')
+    priced = costing.priced_lines(lines.withColumn("marca", F.lit('K"Z')))
+    rows = sinks.packing_list(priced).orderBy("number").collect()
+    assert [(r["item"], r["sku"], r["qty"], r["kg"], r["fob_total"]) for r in rows] == [("1", "A", "2", "0.00", "20.00"), ("2", "B", "1", "0.00", "5.00"), ("", "", "", "", ""), ("TOTALES", "", "3", "0.00", "25.00")]
+    assert [r["kg"] for r in sinks.packing_list(priced, weight_kg=6.0).orderBy("number").collect()] == ["4.00", "2.00", "", "6.00"]
+    text = [r["text"] for r in sinks.order_csv(priced).orderBy("number").collect()]
+    assert text[0].startswith('\ufeff"SKU","Categoría"') and text[1].startswith('"A","OTRO","K""Z","m","v","10","2",') and len(text) == 3
+    assert [r["text"] for r in sinks.quote_csv(priced).orderBy("number").collect()][-2:][0] == "" and sinks.executive_kpis(priced).count() == 6
+    assert {r["number"] for r in tracker.numbered(spark.range(1000).withColumnRenamed("id", "record"), "record", 7).collect()} == {f"IMP-{k:04}" for k in range(8, 1008)}
 
 
 def test_upsert_and_empty_tables(spark):
