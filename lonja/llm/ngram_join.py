@@ -72,32 +72,42 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def _spread(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each of 256 ranges of the hash, in one, two or four bytes each."""
-    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256)
+    """How many shingles fall into each of 256 ranges of the hash (2,048 for sets of so many), in one, two or four bytes
+    each."""
+    bits = 11 if len(shingles) >= 1 << 11 else 8
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return counts.astype(np.uint8 if counts.max() < 1 << 8 else np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
 
 
 def _counts(spread: bytes) -> np.ndarray:
-    return np.frombuffer(spread, {256: np.uint8, 512: np.uint16, 1024: np.uint32}[len(spread)]).astype(np.int64)
+    return np.frombuffer(spread, (np.uint8, np.uint16, np.uint32)[{256: 0, 512: 1, 1024: 2, 2048: 0, 4096: 1, 8192: 2}[len(spread)]]).astype(np.int64)
+
+
+def _common(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Sums of the ranges' smaller counts, in the narrow type of the others."""
+    return np.minimum(others, np.minimum(own, np.iinfo(others.dtype).max).astype(others.dtype)).sum(1, dtype=np.int64)
 
 
 def _possible(group: pd.DataFrame) -> pd.DataFrame:
     """The queries and members of a block that may link: the overlap of two sets is at most the sum of the ranges'
-    smaller counts."""
+    smaller counts; of two large sets the fine ranges are compared as well."""
     sizes, spread = group["n"].to_numpy(), [_counts(x) for x in group["spread"]]
     asks, parts, keep = group["asks"].to_numpy(), group["component"].to_numpy(), np.zeros(len(group), bool)
     members = np.flatnonzero(~asks)
     members = members[np.argsort(sizes[members], kind="stable")]
     if len(members):
-        held = np.stack([spread[k] for k in members])
+        coarse = [x.reshape(256, -1).sum(1) for x in spread]
+        held = np.stack([coarse[k] for k in members])
         held = held.astype(np.uint8 if held.max() < 1 << 8 else np.uint32)
         begin = np.searchsorted(sizes[members], need(sizes), "left")
         end = np.searchsorted(sizes[members], sizes * SIMILARITY[1] // SIMILARITY[0], "right")
         for k in np.flatnonzero(asks):
             near = members[begin[k] : end[k]]
-            near_held = held[begin[k] : end[k]]
-            common = np.minimum(near_held, np.minimum(spread[k], np.iinfo(held.dtype).max).astype(held.dtype)).sum(1, dtype=np.int64)
-            found = near[(common >= overlap_needed(sizes[k], sizes[near])) & (parts[near] != parts[k])]
+            wanted = overlap_needed(sizes[k], sizes[near])
+            found = near[(_common(coarse[k], held[begin[k] : end[k]]) >= wanted) & (parts[near] != parts[k])]
+            if len(spread[k]) > 256 and len(found):
+                fits = [len(spread[m]) == 256 or np.minimum(spread[k], spread[m]).sum() >= overlap_needed(sizes[k], sizes[m]) for m in found]
+                found = found[np.array(fits)]
             keep[found] = True
             keep[k] = len(found) > 0
     return group.loc[keep, ["block", "node", "component", "asks"]]
