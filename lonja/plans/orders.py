@@ -123,6 +123,9 @@ UNION ALL SELECT order_id, n + 2, 'TOTALES', '', '', '', '', '', {_num('q')}, {_
     "k20_order_summary": f"WITH {_PRICED} SELECT order_id, number, '• ' || {_num('qty')} || 'x ' || marca || ' ' || modelo || ' (' || sku || ') - PVP: $' || {_num('price')} AS text FROM priced UNION ALL SELECT order_id, n + 1, 'FOB Total: $' || {_num('fob')} || ' USD' FROM sums UNION ALL SELECT order_id, n + 2, 'Costo Puesto en País: $' || {_num('net')} || ' USD' FROM sums",
     "w13_import_numbers": _NUMBERED.format("IMP-", 0),
     "st2_board": f"WITH {d.SQL_RECORDS}, b AS (SELECT unnest(range(0, 6)) AS position, unnest({rules.STATUSES}) AS status) SELECT position, b.status, count(record) AS n, min(record) AS first_record FROM b LEFT JOIN records r ON r.status = b.status GROUP BY ALL",
+    "st1_status_replay": f"""WITH e AS (SELECT user_id AS record, list({{'s': {rules.STATUSES[1:]}[event_id % 5 + 1], 'a': 0}} ORDER BY ts, event_id) AS l FROM events GROUP BY user_id),
+r AS (SELECT record, len(l) AS n, list_reduce(list_prepend({{'s': 'ordered', 'a': 0}}, l), lambda x, y: CASE WHEN x.s NOT IN ('delivered', 'cancelled') AND (y.s = 'cancelled' OR list_position({rules.STATUSES[:-1]}, y.s) = list_position({rules.STATUSES[:-1]}, x.s) + 1) THEN {{'s': y.s, 'a': x.a + 1}} ELSE x END) AS f FROM e)
+SELECT record, f.s AS status, f.a::BIGINT AS accepted, (n - f.a)::BIGINT AS rejected FROM r""",
     "m4_relevant_date": f"WITH {d.SQL_RECORDS} SELECT record, CASE status WHEN 'in_transit' THEN CASE WHEN record % 2 = 0 THEN record + 1 ELSE record END WHEN 'delivered' THEN CASE WHEN record % 3 = 0 THEN record + 2 WHEN record % 2 = 0 THEN record + 1 ELSE record END END AS at FROM records",
     "m5_fresh": "SELECT event_id, coalesce(floor(epoch(TIMESTAMP '2024-01-15 00:00:00')) - floor(epoch(ts)) < 432000, false) AS fresh FROM events",
 }
