@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 _NAME = r"[a-zA-Z][^\s/>]*"
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)({_NAME})((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-#: HTML element kinds (fixed values): elements that break the text, elements without end tag, elements whose content is not text.
+#: HTML element kinds (fixed values): elements that break the text, elements without end tag, elements whose content is no
+#: markup, elements whose content is not shown, and those of them that hold no HTML.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object".split())
+RAW = frozenset("script style title textarea".split())
+HIDDEN = frozenset("noscript template iframe svg math object".split())
+FOREIGN = frozenset("svg math".split())
 #: Elements that an opening tag of the same kind ends.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = BLOCKS - {"button", "label", "option", "select", "legend"}
@@ -46,12 +49,16 @@ def _words_of(attributes: str) -> frozenset[str]:
 
 
 def leaf_blocks(source: str | None) -> list[Block]:
-    """The text blocks of a page in order: references decoded, white space single, trimmed, none empty."""
+    """The text blocks of a page in order: references decoded, white space single, trimmed, none empty.
+
+    The text of hidden elements is left out until they end: at their end tag, at that of an element around them, and
+    for drawings and formulas at the next tag that breaks the text, as browsers do. Script, style, title and textarea
+    without an end tag run to the end of the page."""
     source = source or ""
     blocks: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     parts: list[str] = []
-    links, linked = 0, 0
+    links, linked, hidden = 0, 0, 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -62,15 +69,16 @@ def leaf_blocks(source: str | None) -> list[Block]:
         parts, linked = [], 0
 
     def close(k: int) -> None:
-        nonlocal links
+        nonlocal links, hidden
         links -= sum(t == "a" for t, _ in stack[k:])
+        hidden -= sum(t in HIDDEN for t, _ in stack[k:])
         del stack[k:]
 
     at = 0
     while at < len(source):
         m = _TAG.search(source, at)
         text = source[at : m.start() if m else len(source)]
-        if text:
+        if text and not hidden:
             parts.append(text)
             if links:
                 linked += len(text)
@@ -82,11 +90,11 @@ def leaf_blocks(source: str | None) -> list[Block]:
             continue
         if m.group(1):
             at_k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if tag in BLOCKS:
+            if tag in BLOCKS and not (hidden and (at_k is None or any(t in HIDDEN for t, _ in stack[:at_k]))):
                 flush()
             if at_k is not None:
                 # An inline end tag does not close blocks around it.
-                if tag in BLOCKS or not any(t in BLOCKS for t, _ in stack[at_k + 1 :]):
+                if tag in BLOCKS or tag in HIDDEN or not any(t in BLOCKS for t, _ in stack[at_k + 1 :]):
                     close(at_k)
                 else:
                     links -= stack[at_k][0] == "a"
@@ -98,9 +106,16 @@ def leaf_blocks(source: str | None) -> list[Block]:
             parts.append(" ")
             continue
         if tag in BLOCKS:
-            flush()
+            if hidden:
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in HIDDEN)
+                if stack[k][0] in FOREIGN and all(t not in ("foreignobject", "desc") for t, _ in stack[k:]):
+                    close(k)
+            if not hidden:
+                flush()
             ends = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
             for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in HIDDEN:
+                    break
                 if stack[k][0] in ends:
                     close(k)
                     break
@@ -111,6 +126,9 @@ def leaf_blocks(source: str | None) -> list[Block]:
         if tag not in VOID and not m.group(3).endswith("/"):
             stack.append((tag, _words_of(m.group(3)) if "=" in m.group(3) else frozenset()))
             links += tag == "a"
+            hidden += tag in HIDDEN
+        if tag in HIDDEN:
+            parts.append(" ")
     flush()
     return blocks
 

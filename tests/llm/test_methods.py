@@ -24,6 +24,20 @@ def test_viterbi_is_the_best_of_all_labellings():
         assert list(html_text.viterbi(scores, moves)) == list(best)
 
 
+def test_hidden_elements_end():
+    pages = {
+        '<div><p>a<svg><path d="x">b</p><p>c</p></div>': ["a", "c"],
+        "<p>one<svg><g><p>two</p>three": ["one", "two", "three"],
+        "<div>x<noscript><p>h</p>i</noscript>y</div>": ["x y"],
+        "<div><object><p>h</div><p>after</p>": ["after"],
+        "<p>a <noscript><p>h</p></noscript> b</p>c": ["a b", "c"],
+        "<svg><title>t</title><foreignObject><div>h</div></foreignObject></svg>end": ["end"],
+        "<p>a<template><li>q<template>r</template>s</template>b": ["a b"],
+        "a<iframe>x</iframe >b<svg/>c<math>1<math>2</math>3</math>d<script>x": ["a b c d"],
+    }
+    assert {p: [b.text for b in html_text.leaf_blocks(p)] for p in pages} == pages
+
+
 def _plain_buckets(text):
     text = " " + " ".join((text or "").lower().split()) + " "
     found = set()
