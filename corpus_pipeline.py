@@ -24,10 +24,14 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays, once if it is repeated; rows without an id stay."""
-    heads = jaccard_components(docs).where("doc_id = component_id").select("doc_id")
-    kept = docs.join(materialize(heads, "kept-ids"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """The document with the smallest id of each component stays; rows without an id stay.
+
+    Rows equal in id and text are one document: of them the row whose other columns come first as JSON stays. Rows that
+    share an id but not the text stay apart, so that none of two unlike texts is lost."""
+    heads = materialize(jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = docs.join(heads, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
