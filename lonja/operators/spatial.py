@@ -106,3 +106,40 @@ def recovered_models(items: DataFrame, generic: Column, reach: float = 250.0) ->
 def median_y(items: DataFrame) -> DataFrame:
     """The middle y of each page, the mean of the two middle ones where their number is even."""
     return items.groupBy(*_PAGE).agg(F.median("y").alias("median_y"))
+
+
+def _with_levels(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """rows with ``ys``: the distinct y of their page in order (as many as the page has lines)."""
+    return rows.join(items.groupBy(*_PAGE).agg(F.sort_array(F.collect_set("y")).alias("ys")), _PAGE)
+
+
+def text_rows(items: DataFrame, text: str, step: float = 6.0) -> DataFrame:
+    """Lines of each page: reading down, an item more than ``step`` below a line's first item begins the next line. Gives
+    the line's y, the x of its first item, and its texts from left to right."""
+
+    def further(starts: Column, y: Column) -> Column:
+        last = F.try_element_at(starts, F.lit(-1))
+        return F.when(last.isNull() | (y - last > step), F.concat(starts, F.array(y))).otherwise(starts)
+
+    starts = F.aggregate("ys", F.array().cast("array<double>"), further)
+    placed = _with_levels(items, items).withColumn("starts", starts)
+    placed = placed.withColumn("row_y", F.array_max(F.filter("starts", lambda s: s <= F.col("y"))))
+    across = F.array_sort(F.collect_list(F.struct("x", "y", "item", F.col(text).alias("text"))))
+    rows = placed.groupBy(*_PAGE, "row_y").agg(F.min(F.struct("y", "x")).alias("first"), across.alias("texts"))
+    return rows.select(*_PAGE, "row_y", F.col("first.x").alias("row_x"), F.array_join(F.transform("texts", lambda t: t["text"]), " ").alias("text"))
+
+
+def cell_bounds(anchors: DataFrame, band: float = 30.0, edge: float = 140.0) -> DataFrame:
+    """The box of each price anchor's cell: across to half-way between the anchors of its row (at the ends half a column,
+    alone ``edge``), up to the row before (40 to 240; 160 where there is none) less 5, down 12."""
+    pairs = near_pairs(anchors, anchors, float("1e12"), band, band)
+    own, other = F.struct("l.x", "l.y", "l.item"), F.struct("r.x", "r.y", "r.item")
+    sides = pairs.groupBy(F.col("l.item").alias("item")).agg(
+        F.max(F.when(other < own, F.col("r.x"))).alias("before"), F.min(F.when(other > own, F.col("r.x"))).alias("after"), F.min("r.x").alias("lo"), F.max("r.x").alias("hi"), F.count("*").alias("n")
+    )
+    x, y = F.col("x"), F.col("y")
+    above = F.array_max(F.filter("ys", lambda v: v < y - 10))
+    height = F.when(above.isNull(), 160.0).otherwise(F.least(F.lit(240.0), F.greatest(F.lit(40.0), y - above)))
+    left = F.when(F.col("before").isNotNull(), (F.col("before") + x) / 2).otherwise(F.greatest(F.lit(0.0), x - F.when(F.col("n") > 1, (F.col("after") - x) / 2).otherwise(edge)))
+    right = F.when(F.col("after").isNotNull(), (F.col("after") + x) / 2).otherwise(x + F.when(F.col("n") > 1, (F.col("hi") - F.col("lo")) / (F.col("n") - 1) / 2).otherwise(edge))
+    return _with_levels(anchors, anchors).join(sides, "item").select("item", left.alias("min_x"), right.alias("max_x"), (y - height + 5).alias("min_y"), (y + 12).alias("max_y"))
