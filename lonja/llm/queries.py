@@ -11,6 +11,7 @@ from lonja.llm.bpe import encode_and_decode
 from lonja.llm.common import WHITE_SPACE, read
 from lonja.llm.embed_dedup import COSINE, cosine_components
 from lonja.llm.html_text import page_texts
+from lonja.llm.licenses import license_report
 from lonja.llm.mixing import mix_report
 from lonja.llm.ngram_join import jaccard_components
 from lonja.llm.quality import judged
@@ -62,7 +63,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.page_verdicts(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_dedup, op3_warc, op4_bpe, op5_chat_format, op6_quality_rules, op7_toxicity, op8_html_text, op9_source_mix, op10_url_filter)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_dedup, op3_warc, op4_bpe, op5_chat_format, op6_quality_rules, op7_toxicity, op8_html_text, op9_source_mix, op10_url_filter, op11_license_scan)}
 
 _UPPER, _LOWER = urlfilter._UPPER, urlfilter._LOWER
 _SPACES = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
