@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lonja.llm import chat, spelling, urlfilter
+from lonja.llm import chat, collocations, spelling, urlfilter
 from lonja.llm.bpe import encode_and_decode
 from lonja.llm.common import WHITE_SPACE, read
 from lonja.llm.embed_dedup import COSINE, cosine_components
@@ -67,11 +67,15 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(read(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.word_counts(read(spark, sf_dir, "documents"), slips=199))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_dedup, op3_warc, op4_bpe, op5_chat_format, op6_quality_rules, op7_toxicity, op8_html_text, op9_source_mix, op10_url_filter, op11_license_scan, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_dedup, op3_warc, op4_bpe, op5_chat_format, op6_quality_rules, op7_toxicity, op8_html_text, op9_source_mix, op10_url_filter, op11_license_scan, op12_collocations, op13_spelling_variants)}
 
 _UPPER, _LOWER = urlfilter._UPPER, urlfilter._LOWER
 _SPACES = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
@@ -106,5 +110,6 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 """,
     "op5_chat_format": chat.ORACLE_SQL,
     "op10_url_filter": urlfilter.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
     "op13_spelling_variants": spelling.ORACLE_SQL,
 }
