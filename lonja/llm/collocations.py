@@ -250,7 +250,7 @@ f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL),
 t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {LEAST}),
 cut AS (SELECT c.*, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM c, (VALUES (1), (2)) v(k) WHERE k < len(w)),
-s AS (SELECT cut.lang, cut.phrase, w, a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+s AS (SELECT cut.lang, cut.phrase, w, a, cut.k, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
   FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y),
 o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 i AS (SELECT DISTINCT o.lang, o.phrase FROM o JOIN (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM o WHERE len(w) = 3) b ON b.lang = o.lang AND b.part = o.phrase WHERE 100 * b.a >= {WITHIN} * o.a),
