@@ -11,7 +11,8 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 _NAME = r"[a-zA-Z][^\s/>]*"
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)({_NAME})((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
+#: What can stand after the last > of a page.
+_TAIL = re.compile(r"<!--.*\Z|<[!?][^>]*", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: HTML element kinds (fixed values): elements that break the text, elements without end tag, elements whose content is no
 #: markup, elements whose content is not shown, and those of them that hold no HTML.
@@ -32,13 +35,18 @@ FOREIGN = frozenset("svg math".split())
 #: Elements that an opening tag of the same kind ends.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = BLOCKS - {"button", "label", "option", "select", "legend"}
+#: Elements beyond which they end nothing.
+_LISTS = frozenset(("ul", "ol", "dl", "table", "select"))
 
 
 class Block:
-    __slots__ = ("text", "tags", "names", "linked")
+    """A text block: its text, the names of its open elements and of their class words that are features, its own block
+    element, and its characters inside links."""
 
-    def __init__(self, text: str, tags: tuple[str, ...], names: frozenset[str], linked: int):
-        self.text, self.tags, self.names, self.linked = text, tags, names, linked
+    __slots__ = ("text", "above", "own", "linked")
+
+    def __init__(self, text: str, above: frozenset[str], own: str, linked: int):
+        self.text, self.above, self.own, self.linked = text, above, own, linked
 
 
 def _words_of(attributes: str) -> frozenset[str]:
@@ -48,57 +56,111 @@ def _words_of(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+class _Open:
+    """The open elements of a page. Each tag has the places of its open elements, and each feature its number of them, so
+    that finding, opening and closing an element costs the same under any number of unclosed ones."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, list[str]] | None] = []  # None: closed while elements above it are open
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.hidden: list[int] = []
+        self.solid: list[int] = []  # blocks but p: beyond them an opening tag ends nothing
+        self.counts: Counter[str] = Counter()
+        self.above: frozenset[str] | None = frozenset()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the uppermost open element of these tags, -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str, names: frozenset[str]) -> None:
+        own = [f for f in (f"in:{tag}", *(f"name:{n}" for n in names)) if f in FEATURES]
+        at = len(self.stack)
+        self.stack.append((tag, own))
+        self.places[tag].append(at)
+        if tag in BLOCKS:
+            self.blocks.append(at)
+            if tag != "p":
+                self.solid.append(at)
+        if tag in HIDDEN:
+            self.hidden.append(at)
+        for f in own:
+            self.counts[f] += 1
+            if self.counts[f] == 1:
+                self.above = None
+
+    def _drop(self, element: tuple[str, list[str]]) -> None:
+        self.places[element[0]].pop()
+        for f in element[1]:
+            self.counts[f] -= 1
+            if not self.counts[f]:
+                del self.counts[f]
+                self.above = None
+
+    def close(self, k: int) -> None:
+        """Closes the element at k and all above it."""
+        while len(self.stack) > k:
+            if (element := self.stack.pop()) is not None:
+                self._drop(element)
+        for places in (self.blocks, self.solid, self.hidden):
+            while places and places[-1] >= k:
+                places.pop()
+
+    def close_alone(self, k: int) -> None:
+        """Closes the uppermost inline element of its tag and leaves those above it open."""
+        self._drop(self.stack[k])
+        self.stack[k] = None
+
+    def features(self) -> frozenset[str]:
+        if self.above is None:
+            self.above = frozenset(self.counts)
+        return self.above
+
+
 def leaf_blocks(source: str | None) -> list[Block]:
-    """The text blocks of a page in order: references decoded, white space single, trimmed, none empty.
+    """The text blocks of a page in order: references decoded, white space single, trimmed, none empty. The time is in
+    proportion to the page, whatever is left open in it; a page without tags is one block.
 
     The text of hidden elements is left out until they end: at their end tag, at that of an element around them, and
     for drawings and formulas at the next tag that breaks the text, as browsers do. Script, style, title and textarea
     without an end tag run to the end of the page."""
     source = source or ""
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    opened = _Open()
     parts: list[str] = []
-    links, linked, hidden = 0, 0, 0
+    linked, at, last = 0, 0, source.rfind(">")
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-            blocks.append(Block(text, tuple(t for t, _ in stack), names, min(linked, len(text))))
+            own = opened.stack[opened.blocks[-1]][0] if opened.blocks else "body"
+            blocks.append(Block(text, opened.features(), own, min(linked, len(text))))
         parts, linked = [], 0
 
-    def close(k: int) -> None:
-        nonlocal links, hidden
-        links -= sum(t == "a" for t, _ in stack[k:])
-        hidden -= sum(t in HIDDEN for t, _ in stack[k:])
-        del stack[k:]
-
-    at = 0
     while at < len(source):
-        m = _TAG.search(source, at)
+        m = (_TAG if at <= last else _TAIL).search(source, at)
         text = source[at : m.start() if m else len(source)]
-        if text and not hidden:
+        if text and not opened.hidden:
             parts.append(text)
-            if links:
+            if opened.places["a"]:
                 linked += len(text)
         if not m:
             break
         at = m.end()
-        tag = m.group(2) and m.group(2).lower()
+        tag = at <= last + 1 and m.group(2) and m.group(2).lower()
         if not tag:
             continue
         if m.group(1):
-            at_k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if tag in BLOCKS and not (hidden and (at_k is None or any(t in HIDDEN for t, _ in stack[:at_k]))):
+            k = opened.last((tag,))
+            if tag in BLOCKS and not (opened.hidden and (k < 0 or opened.hidden[0] < k)):
                 flush()
-            if at_k is not None:
+            if k >= 0:
                 # An inline end tag does not close blocks around it.
-                if tag in BLOCKS or tag in HIDDEN or not any(t in BLOCKS for t, _ in stack[at_k + 1 :]):
-                    close(at_k)
+                if tag in BLOCKS or tag in HIDDEN or not (opened.blocks and opened.blocks[-1] > k):
+                    opened.close(k)
                 else:
-                    links -= stack[at_k][0] == "a"
-                    del stack[at_k]
+                    opened.close_alone(k)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at) if not m.group(3).endswith("/") else None
@@ -106,27 +168,20 @@ def leaf_blocks(source: str | None) -> list[Block]:
             parts.append(" ")
             continue
         if tag in BLOCKS:
-            if hidden:
-                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in HIDDEN)
-                if stack[k][0] in FOREIGN and all(t not in ("foreignobject", "desc") for t, _ in stack[k:]):
-                    close(k)
-            if not hidden:
+            if opened.hidden:
+                k = opened.hidden[-1]
+                if opened.stack[k][0] in FOREIGN and opened.last(("foreignobject", "desc")) < k:
+                    opened.close(k)
+            if not opened.hidden:
                 flush()
-            ends = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in HIDDEN:
-                    break
-                if stack[k][0] in ends:
-                    close(k)
-                    break
-                if stack[k][0] in BLOCKS and not (tag in _CLOSES and stack[k][0] not in ("ul", "ol", "dl", "table", "select")) and stack[k][0] != "p":
-                    break
+            k = opened.last(_CLOSES.get(tag, frozenset()) | ({"p"} if tag in _ENDS_P else frozenset()))
+            barrier = opened.last(_LISTS) if tag in _CLOSES else max(opened.solid[-1:], default=-1)
+            if k >= 0 and k >= max([barrier, *opened.hidden[-1:]]):
+                opened.close(k)
         elif tag == "br":
             parts.append(" ")
         if tag not in VOID and not m.group(3).endswith("/"):
-            stack.append((tag, _words_of(m.group(3)) if "=" in m.group(3) else frozenset()))
-            links += tag == "a"
-            hidden += tag in HIDDEN
+            opened.push(tag, _words_of(m.group(3)) if "=" in m.group(3) else frozenset())
         if tag in HIDDEN:
             parts.append(" ")
     flush()
@@ -149,11 +204,7 @@ FEATURES = {
 def block_features(blocks: list[Block]) -> list[list[int]]:
     out = []
     for i, b in enumerate(blocks):
-        on = {"bias"}
-        on.update(f"in:{t}" for t in b.tags)
-        own = next((t for t in reversed(b.tags) if t in BLOCKS), "body")
-        on.add(f"own:{own}")
-        on.update(f"name:{n}" for n in b.names)
+        on = {"bias", f"own:{b.own}", *b.above}
         n = len(b.text.split())
         on.add(f"words:{min(6, n.bit_length() - 1)}")
         on.add(f"links:{min(3, 4 * b.linked // max(1, len(b.text)))}")
