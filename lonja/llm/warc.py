@@ -76,25 +76,29 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 class _Inflated(io.RawIOBase):
-    """Plain, gzip or record-wise gzip content as a stream, inflated piece by piece."""
+    """Plain, gzip or record-wise gzip content as a stream, inflated piece by piece. Damaged or cut gzip content ends the
+    stream where the damage begins, and ``broken`` is set."""
 
     def __init__(self, content: bytes):
-        self.at, self.content, self.left = 0, memoryview(content), b""
+        self.at, self.content, self.left, self.broken = 0, memoryview(content), b"", False
         self.zip = zlib.decompressobj(31) if content[:2] == b"\x1f\x8b" else None
 
     def readable(self) -> bool:
         return True
 
     def readinto(self, out) -> int:
-        while not self.left and (self.at < len(self.content) or self.zip and self.zip.unused_data):
+        while not self.left and not self.broken and (self.at < len(self.content) or self.zip and self.zip.unused_data):
             if self.zip and self.zip.eof:
                 self.at -= len(self.zip.unused_data)
                 self.zip = zlib.decompressobj(31)
             piece = self.content[self.at : self.at + (1 << 18)]
             self.at += len(piece)
-            self.left = self.zip.decompress(piece) if self.zip else bytes(piece)
-            if not len(piece):
-                break
+            try:
+                self.left = self.zip.decompress(piece) if self.zip else bytes(piece)
+            except zlib.error:
+                self.broken = True
+        if not self.left and self.zip and not self.zip.eof:
+            self.broken = True
         n = min(len(out), len(self.left))
         out[:n] = self.left[:n]
         self.left = self.left[n:]
@@ -104,10 +108,17 @@ class _Inflated(io.RawIOBase):
 _BROKEN = dict.fromkeys(("record_id", "uri", "date", "concurrent_to", "refers_to", "payload_digest", "payload_bytes", "payload", "fields")) | {"type": "broken"}
 
 
+def _length(value: str | None) -> int | None:
+    """A Content-Length, null if it is no number of bytes."""
+    return int(value) if value and value.isascii() and value.isdigit() and len(value) < 19 else None
+
+
 def parse_records(content: bytes, with_payload: bool = True) -> Iterator[dict]:
-    """The records of one archive, by Content-Length. Where a line is no record start, or a block ends before its length,
-    the rest cannot be divided: it gives one record of type ``broken`` with its number of bytes, and ends the archive."""
-    stream = io.BufferedReader(_Inflated(content), 1 << 18)
+    """The records of one archive, by Content-Length. Where a line is no record start, a length is missing or no number, a block
+    ends before its length, or gzip content is damaged or cut, the rest cannot be divided: it gives one record of type
+    ``broken`` with its number of bytes, and ends the archive."""
+    raw = _Inflated(content)
+    stream = io.BufferedReader(raw, 1 << 18)
     while line := stream.readline():
         if not line.strip():
             continue
@@ -118,8 +129,9 @@ def parse_records(content: bytes, with_payload: bool = True) -> Iterator[dict]:
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
-        block = stream.read(int(head.get("content-length", 0)))
-        if len(block) < int(head.get("content-length", 0)):
+        size = _length(head.get("content-length"))
+        block = stream.read(size)
+        if size is None or len(block) < size:
             yield _BROKEN | {"record_id": head.get("warc-record-id"), "uri": head.get("warc-target-uri"), "payload_bytes": len(block)}
             return
         kind, fields, payload, size, digest = head.get("warc-type"), {}, None, None, None
@@ -129,7 +141,7 @@ def parse_records(content: bytes, with_payload: bool = True) -> Iterator[dict]:
             if kind == "response":
                 size, digest = len(payload), hashlib.sha256(payload).hexdigest()
             else:
-                payload, size, digest = None, int(fields.get("content-length", 0)), head.get("warc-payload-digest", "").rpartition(":")[2] or None
+                payload, size, digest = None, _length(fields.get("content-length")), head.get("warc-payload-digest", "").rpartition(":")[2] or None
         elif head.get("content-type") == "application/warc-fields":
             fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").splitlines()) if k}
         else:
@@ -138,6 +150,8 @@ def parse_records(content: bytes, with_payload: bool = True) -> Iterator[dict]:
             "record_id": head.get("warc-record-id"), "type": kind, "uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "concurrent_to": head.get("warc-concurrent-to"), "refers_to": head.get("warc-refers-to"),
             "payload_digest": digest, "payload_bytes": size, "payload": payload if with_payload else None, "fields": fields,
         }
+    if raw.broken:
+        yield _BROKEN | {"payload_bytes": 0}
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
