@@ -180,7 +180,8 @@ def _triples(key: tuple, text: pa.Table, pairs: pa.Table) -> pa.Table:
 
 
 def _summed(pairs: DataFrame, least: int) -> DataFrame:
-    return pairs.groupBy("a", "b").agg(F.first("lang").alias("lang"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    """Counts of all chunks by hash; ids belong to one language, which is joined to the few that are left."""
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, chunk_bytes: int = CHUNK) -> dict[str, DataFrame]:
@@ -201,11 +202,13 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     coded = materialize(text.groupBy("chunk", "lang").cogroup(numbered.groupBy("chunk", "lang")).applyInArrow(_word_pairs, _ROW), "coded")
     discard(cut)
     counted = coded.where("kind = 'pair'").select("chunk", "lang", "a", "b", "n")
-    pairs = materialize(ranked(_summed(counted, least), [], [F.asc("lang"), F.desc("n"), F.asc("a"), F.asc("b")], "id"), "pairs")
+    spoken = words.select(F.col("id").alias("a"), "lang")
+    pairs = materialize(ranked(_summed(counted, least).join(spoken, "a"), [], [F.asc("lang"), F.desc("n"), F.asc("a"), F.asc("b")], "id"), "pairs")
     numbered = counted.select("chunk", "lang", "a", "b").join(pairs.select("a", "b", "id"), ["a", "b"]).select("chunk", "lang", "a", "b", "id")
     text = coded.where("kind = 'text'").select("chunk", "lang", "a", "ids").toDF("chunk", "lang", "a", "ids")
     triples = text.groupBy("chunk", "lang").cogroup(numbered.groupBy("chunk", "lang")).applyInArrow(_triples, _ROW)
-    triples = materialize(_summed(triples.select("lang", "a", "b", "n"), least), "triples")
+    triples = _summed(triples.select("a", "b", "n"), least).join(pairs.select(F.col("id").alias("a"), "lang"), "a")
+    triples = materialize(triples, "triples")
     discard(coded)
     return {"totals": totals, "words": words, "pairs": pairs, "triples": triples}
 
