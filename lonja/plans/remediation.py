@@ -11,6 +11,7 @@ from lonja.plans import domain as d
 from lonja.plans.checks import _FULL, _MARKS, _NOUN, _ONE, _RANK, _SEVERE, _SWITCH, _m, _n, _q
 from lonja.plans.checks import _CODE as _HAS_CODE
 from lonja.plans.gates import _CODE, _case
+from lonja.plans.registry import _FACTS, _IDENT
 
 _COLOURS = ["", "Black", None, "Pink/White", "matte", "Purple White Blue RGB", "rojo", "Silver", "gris oscuro"]
 _SHOWN = ["BLACK", "WHITE", None, "UNKNOWN", "PINK", "MULTICOLOR", "BLUE", "SILVER", "GOLD", "RED", ""]
@@ -343,6 +344,7 @@ _STRATEGY_IDS = {
 QUERIES = {
     "v10_image_text": _verified_images,
     "v12_model_gate": lambda s, sf: gates.model_gate(_photographed(s, sf)).select("row_seq", "status", "modelo", "variante", F.array_join("model_findings", ",").alias("findings")),
+    "v13_import_verification": lambda s, sf: gates.import_verification(_photographed(s, sf)),
     "rs14_literal_price": _token,
     "rs16_reverified": lambda s, sf: remediation.reverified(_fixed(s, sf)).select("row_seq", "status", F.array_join("warnings", ",").alias("warnings"), "marketing", "outlier"),
     "rs13_traced": lambda s, sf: _forged(s, sf).select("row_seq", remediation.traced().alias("traced")),
@@ -354,10 +356,21 @@ QUERIES = {
 }
 
 _AUDITED = _SEVERE.replace(d.SQL_ROWS, "rows AS (SELECT * EXCLUDE (status, warnings) FROM p WHERE status = 'GREEN')")
+_BASE = "row_seq, sku, marca, modelo, variante, cat, fob, img, grounded, source_status, raw, file, page, color, interior, aspect, calibrated, status, warnings"
+_KIND = "CASE WHEN m = '' THEN 'plain' WHEN token IS NOT NULL AND NOT sw AND noun IS NULL THEN 'switch-axis' WHEN code THEN 'code' WHEN noun IS NOT NULL AND marks <= 1 AND lower(noun) <> lower(trim(coalesce(cat, ''))) THEN 'noun-phrase' WHEN marks >= 2 AND noun IS NULL THEN 'puffery' WHEN marks >= 1 THEN 'marketing-only' ELSE 'plain' END"
+_VERIFIED = f"""WITH {_FULL.replace(d.SQL_ROWS, _PHOTOGRAPHED.replace(", rows AS (", ", rows1 AS (") + ", rows AS (SELECT * EXCLUDE (status) FROM rows1)")}, jd AS (SELECT {_BASE} FROM valid), {_image_gate('jd')},
+{_FACTS.replace(d.SQL_IMAGED, "imaged AS (SELECT row_seq, marca, modelo, cat, status, CASE WHEN starts_with(lower(img), 'data:image/') THEN img END AS img FROM ig)")},
+sh0 AS (SELECT i.row_seq, i.img, i.status, coalesce(n_cats > 1, false) AS across, coalesce(n_brands > 1 AND models > 1 AND {_IDENT.format('modelo')} || '|' || upper(cat) <> kept_model, false) AS brands, first FROM imaged i LEFT JOIN facts f ON f.img = i.img),
+sh AS (SELECT row_seq, across, brands, CASE WHEN NOT ((across AND row_seq <> first) OR brands) THEN img END IS NULL AS bare FROM sh0),
+sg AS (SELECT ig.* REPLACE (CASE WHEN status = 'GREEN' AND (across OR bare) THEN 'YELLOW' ELSE status END AS status), list_filter([CASE WHEN across THEN 'cross-category' END, CASE WHEN brands THEN 'cross-brand' END, CASE WHEN bare THEN 'placeholder-image' END], lambda z: z IS NOT NULL) AS sharing FROM ig JOIN sh USING (row_seq)), {_model_gate('sg')},
+w0 AS (SELECT *, trim(coalesce(modelo, '')) AS m, lower(trim(coalesce(cat, ''))) IN ('switch', 'interruptor') AS sw, '' AS grounding, false AS outlier, list_concat(list_concat(image_findings, sharing), list_filter(model_findings, lambda z: z NOT IN ('watch-model', 'truncated-model-repaired'))) AS gates FROM mg),
+w1 AS (SELECT *, {_HAS_CODE} AS code, {_NOUN} AS noun, {_SWITCH} AS token, {_MARKS} AS marks, list_filter(list_transform(warnings, lambda u: CASE WHEN ({_CODE}) = 'SWITCH_IN_MODEL' AND sw OR ({_CODE}) = 'MODEL_TRUNCATED' AND NOT {_BRACKETS} THEN NULL ELSE {_CODE} END), lambda z: z IS NOT NULL) AS told FROM w0),
+w2 AS (SELECT *, {_KIND} AS marketing FROM w1), w3 AS (SELECT *, {_REASON} AS reason FROM w2)"""
 _PASS = f"WITH {_DAMAGED}, p AS {_pass_sql('dm')}"
 ORACLE_SQL = {
     "v10_image_text": f"WITH {_PHOTOGRAPHED}, {_image_gate('rows')} SELECT row_seq, status, array_to_string(image_findings, ',') AS findings, array_to_string(fam, ',') AS declared, intended0 AS intended FROM ig",
     "v12_model_gate": f"WITH {_PHOTOGRAPHED}, {_model_gate('rows')} SELECT row_seq, status, modelo, variante, array_to_string(model_findings, ',') AS findings FROM mg",
+    "v13_import_verification": f"{_VERIFIED} SELECT row_seq, sku, CASE WHEN reason = 'UNCLASSIFIED_YELLOW' THEN 'YELLOW' ELSE status END AS status, reason, array_to_string(gates, ',') AS gates, modelo, variante, CASE WHEN reason = 'UNCLASSIFIED_YELLOW' THEN true ELSE status <> 'RED' END AS importable FROM w3",
     "rs14_literal_price": f"WITH {_DAMAGED}, {_attempt('(SELECT * REPLACE (CASE WHEN status = $$GREEN$$ THEN $$YELLOW$$ ELSE status END AS status) FROM dm)')} SELECT row_seq, price.str AS str, price.x AS x, price.y AS y, price.page AS page FROM at6 WHERE price IS NOT NULL",
     "rs16_reverified": f"{_PASS} SELECT row_seq, status, array_to_string(warnings, ',') AS warnings, marketing, outlier FROM p",
     "rs17_pass": f"{_PASS} SELECT row_seq, for_reason AS reason, strategy, outcome, status, modelo, variante, cat, array_to_string(warnings, ',') AS warnings, array_to_string(gates, ',') AS gates, evidence.remediated AS remediated, evidence.resolved AS resolved FROM p",
