@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lonja.operators import gates, remediation
@@ -10,6 +11,17 @@ from lonja.plans import remediation as plans
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def interpreted(spark):
+    """Small tables and wide expressions: compiling them would take most of the time."""
+    settings = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    for k, x in settings.items():
+        spark.conf.set(k, x)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
 def test_fixed_point_and_odd_rows(spark):
     rows = plans.damaged(spark, SF).withColumn("outcome_note", F.lit("extra"))
     odd = rows.limit(1)
