@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lonja.functions import rules
+from lonja.operators.ranks import ranked
 from lonja.functions.exprs import ratio, round2
 
 
@@ -50,14 +51,10 @@ def rollups(records: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, order: str, start: int = 0, prefix: str = "IMP-", into: str = "number") -> DataFrame:
     """rows with PREFIX0001 and on in the order of a unique key, after a counter that is never used again.
 
-    No single-task window: a place within a range of keys, plus the sizes of the ranges before (one row each)."""
-    ranged = rows.repartitionByRange(F.col(order).asc_nulls_last())
-    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(F.col(order).asc_nulls_last()))).persist()  # the ranges are drawn once
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    number = F.col("_at") + F.col("_before") + start
-    return ranged.join(F.broadcast(offsets), "_part").withColumn(into, F.concat(F.lit(prefix), F.lpad(number.cast("string"), F.greatest(F.lit(4), F.length(number.cast("string"))), "0"))).drop("_part", "_at", "_before")
+    No single-task window: ranks come from stored ranges of keys, so a lost executor gives no number twice."""
+    number = F.col("_rank") + start
+    out = ranked(rows, [], [F.col(order).asc_nulls_last()], "_rank")
+    return out.withColumn(into, F.concat(F.lit(prefix), F.lpad(number.cast("string"), F.greatest(F.lit(4), F.length(number.cast("string"))), "0"))).drop("_rank")
 
 
 def board(records: DataFrame) -> DataFrame:
