@@ -151,7 +151,7 @@ def receipt(mapping: DataFrame) -> DataFrame:
 def code_lookup(codes: DataFrame, table: DataFrame) -> DataFrame:
     """Tariff rows of codes (code), whatever dots and spaces stand in either; the first row of a code counts."""
     plain = table.withColumn("plain", F.regexp_replace("ncm", r"[.\s]", "")).groupBy("plain").agg(F.min_by(F.struct(*table.columns), "tariff_key").alias("t"))
-    return codes.withColumn("plain", F.regexp_replace("code", r"[.\s]", "")).join(F.broadcast(plain), "plain", "left").select("code", "t.*")
+    return codes.withColumn("plain", F.regexp_replace("code", r"[.\s]", "")).join(plain, "plain", "left").select("code", "t.*")
 
 
 def duty_rates(matrix: DataFrame, quoted: DataFrame) -> DataFrame:

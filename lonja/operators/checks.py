@@ -90,7 +90,7 @@ def full_validation(rows: DataFrame) -> DataFrame:
     far = quality.outliers(rows.select("row_seq", F.col("row_seq").alias("sku"), "cat", "fob")).select(F.col("sku").alias("row_seq"), F.col("status").alias("far"))
     few = quality.minority_categories(rows).select("cat", F.lit("YELLOW").alias("few"))
     source = F.when(F.upper(F.trim("source_status")).isin("RED", "YELLOW", "GREEN"), F.upper(F.trim("source_status"))).otherwise("GREEN")
-    out = judged.join(far, "row_seq", "left").join(F.broadcast(few), "cat", "left")
+    out = judged.join(far, "row_seq", "left").join(few, "cat", "left")
     status = worst(F.col("status"), source, F.coalesce("far", F.lit("GREEN")), F.coalesce("few", F.lit("GREEN")))
     return out.select("row_seq", "sku", "cat", "img", "file", status.alias("status"), F.array_distinct(F.concat("critical", "violations")).alias("warnings"))
 

@@ -40,8 +40,9 @@ def door_key() -> Column:
 
 
 def with_tariff(lines: DataFrame, key: Column | None = None, table: DataFrame | None = None) -> DataFrame:
-    table = rules.tariffs(lines.sparkSession) if table is None else table
-    return lines.withColumn("tariff_key", tariff_key() if key is None else key).join(F.broadcast(table), "tariff_key")
+    """lines with the columns of their tariff; the fixed table is broadcast, a caller's only if Spark finds it small."""
+    table = F.broadcast(rules.tariffs(lines.sparkSession)) if table is None else table
+    return lines.withColumn("tariff_key", tariff_key() if key is None else key).join(table, "tariff_key")
 
 
 def overridden_tariffs(overrides: dict[str, dict] | None = None) -> list[tuple]:
@@ -186,10 +187,10 @@ def courier_regime(lines: DataFrame, freight_pct: float = 0.15, insurance_pct: f
 
 def scenarios(lines: DataFrame, rates: list[float], freight_changes: list[float], margin_pct: float = 35.0, config: dict | None = None) -> DataFrame:
     """Every order costed anew under every pair of exchange rate and change of the freight percentage (in percent), with
-    the revenue that earns the margin; the scenario table is broadcast."""
+    the revenue that earns the margin; the scenarios are literals that each order's one row is unfolded to."""
     c, target = order_config(config), 1 / (1 - margin_pct / 100)
-    table = lines.sparkSession.createDataFrame([(float(a), float(b)) for a in rates for b in freight_changes], "rate double, freight_change double")
-    t = order_sums(lines, config).join(F.broadcast(table))
+    table = F.array(*(F.struct(F.lit(float(a)).alias("rate"), F.lit(float(b)).alias("freight_change")) for a in rates for b in freight_changes))
+    t = order_sums(lines, config).withColumn("_scenario", F.explode(table)).select("*", "_scenario.*").drop("_scenario")
     t = t.withColumn("cost_usd", round2(net_of(c, F.lit(float(c["freight_pct"])) * (1 + F.col("freight_change") / 100))))
     goal = F.col("cost_usd") * target
     return t.select("order_id", "rate", "freight_change", "cost_usd", round2(F.col("cost_usd") - F.col("order_net")).alias("cost_change"), round2(goal).alias("target_revenue"), round2(goal - F.col("cost_usd")).alias("target_margin"), round0(goal * F.col("rate")).alias("target_local"))
