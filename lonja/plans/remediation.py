@@ -1,4 +1,4 @@
-"""Queries of the gates and of remediation, each beside its SQL. Their rows are parts with one damage or two each."""
+"""Queries of the gates, of remediation and of the image store, each beside its SQL. Their rows are parts with one damage or two each."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from lonja.plans.checks import _FULL, _MARKS, _NOUN, _ONE, _RANK, _SEVERE, _SWIT
 from lonja.plans.checks import _CODE as _HAS_CODE
 from lonja.plans.gates import _CODE, _case
 from lonja.plans.registry import _FACTS, _IDENT
+from lonja.sources import image_store
+from lonja.storage import scratch
 
 _COLOURS = ["", "Black", None, "Pink/White", "matte", "Purple White Blue RGB", "rojo", "Silver", "gris oscuro"]
 _SHOWN = ["BLACK", "WHITE", None, "UNKNOWN", "PINK", "MULTICOLOR", "BLUE", "SILVER", "GOLD", "RED", ""]
@@ -336,6 +338,27 @@ def _verified_images(s, sf):
     return gates.image_text(_photographed(s, sf)).select("row_seq", "status", F.array_join("image_findings", ",").alias("findings"), F.array_join("declared", ",").alias("declared"), "intended")
 
 
+def _with_images(s, sf):
+    """Four rows share an image; some have a mark or nothing in its place."""
+    img = F.when(F.col("row_seq") % 7 == 0, "-").when(F.col("row_seq") % 9 != 0, F.col("img"))
+    return damaged(s, sf).select("row_seq", img.alias("img"))
+
+
+def _unreferenced(s, sf):
+    path = scratch(s, "images")
+    saved = image_store.save(_with_images(s, sf), path)
+    return image_store.unreferenced(saved.where("row_seq % 3 = 0"), path)
+
+
+def _round_trip(s, sf):
+    """Saved twice, collected against a third of the rows, loaded for all."""
+    path, rows = scratch(s, "images"), _with_images(s, sf)
+    saved = image_store.save(rows, path)
+    image_store.save(rows, path)
+    image_store.collect(saved.where("row_seq % 3 = 0"), path)
+    return image_store.loaded(saved, path)
+
+
 _STRATEGY_IDS = {
     "rs1_colour_from_image": "colorFromImage", "rs2_variant_colours": "varianteColorAdoption", "rs3_price_regrounding": "literalPriceRegrounding", "rs4_anchor_search": "literalAnchorSearch", "rs5_truncation": "truncationRepair", "rs6_switch_to_variant": "switchToVariante",
     "rs7_row_context": "rowContextDisambiguation", "rs8_code_adoption": "codeAdoption", "rs9_shared_image": "sharedImageReassign", "rs10_legacy_clean": "legacyOnlyClean", "rs11_category": "categoryCorrection",
@@ -353,8 +376,12 @@ QUERIES = {
     "st5_ledger": lambda s, sf: remediation.remediate(damaged(s, sf))[1],
     "st5_rows": lambda s, sf: remediation.remediate(damaged(s, sf))[0].select("row_seq", "status", "modelo", "variante", "color", "cat", F.col("evidence.remediated").alias("remediated")),
     **{name: _strategy(key) for name, key in _STRATEGY_IDS.items()},
+    "k12_image_refs": lambda s, sf: image_store.save(_with_images(s, sf), scratch(s, "images")),
+    "k12_unreferenced": _unreferenced,
+    "k12_round_trip": _round_trip,
 }
 
+_IMAGES = f"{_DAMAGED}, wi AS (SELECT row_seq, CASE WHEN row_seq % 7 = 0 THEN '-' WHEN row_seq % 9 <> 0 THEN img END AS img FROM dm)"
 _AUDITED = _SEVERE.replace(d.SQL_ROWS, "rows AS (SELECT * EXCLUDE (status, warnings) FROM p WHERE status = 'GREEN')")
 _BASE = "row_seq, sku, marca, modelo, variante, cat, fob, img, grounded, source_status, raw, file, page, color, interior, aspect, calibrated, status, warnings"
 _KIND = "CASE WHEN m = '' THEN 'plain' WHEN token IS NOT NULL AND NOT sw AND noun IS NULL THEN 'switch-axis' WHEN code THEN 'code' WHEN noun IS NOT NULL AND marks <= 1 AND lower(noun) <> lower(trim(coalesce(cat, ''))) THEN 'noun-phrase' WHEN marks >= 2 AND noun IS NULL THEN 'puffery' WHEN marks >= 1 THEN 'marketing-only' ELSE 'plain' END"
@@ -379,4 +406,7 @@ ORACLE_SQL = {
     "st5_ledger": f"WITH {_passes_sql(5)} " + " UNION ALL ".join(f"SELECT row_seq, {n}::INT AS pass, for_reason AS reason, strategy, outcome FROM r{n}" for n in range(1, 6)),
     "st5_rows": f"WITH {_passes_sql(5)} SELECT row_seq, status, modelo, variante, color, cat, evidence.remediated AS remediated FROM s5",
     **{name: _strategy_sql(key) for name, key in _STRATEGY_IDS.items()},
+    "k12_image_refs": f"WITH {_IMAGES} SELECT row_seq, CASE WHEN img LIKE 'data:%' THEN 'image:' || sha256(img) ELSE img END AS img FROM wi",
+    "k12_unreferenced": f"WITH {_IMAGES} SELECT sha256(img) AS digest FROM wi WHERE img LIKE 'data:%' GROUP BY img HAVING count(*) FILTER (row_seq % 3 = 0) = 0",
+    "k12_round_trip": f"WITH {_IMAGES} SELECT row_seq, CASE WHEN img NOT LIKE 'data:%' OR img IN (SELECT img FROM wi WHERE row_seq % 3 = 0) THEN img END AS img FROM wi",
 }

@@ -20,12 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table under the shared folder and reads it back; the file system deletes it when the driver ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, which the file system deletes when the driver ends."""
     top = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to a path of scratch() and reads it back."""
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
