@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lonja.plans import checks, edits, gates, layout, matching, orders, registry, remediation
+from lonja.plans import checks, edits, gates, inheritance, layout, matching, orders, registry, remediation
 
-_PARTS = (registry, orders, checks, edits, gates, remediation, matching, layout)
+_PARTS = (registry, orders, checks, edits, gates, remediation, matching, layout, inheritance)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
