@@ -33,6 +33,7 @@ FAMILY_ALONE = FAMILY_COLOURS + "|dark blue|transparent|clear|matte|glossy"
 TITLES = "model|product|picture|image|switch|color|colour|axis|wired|wireless|cny|rmb|usd|price|remark|note|cnyhot"
 NOISE = [r"^[一-鿿\s]+$", r"(?i)zhengzhou|damulin", r"^[\d\s.,-]+$", rf"(?i)^({TITLES})$", r"^[¥￥]\s*[\d,]", r"^\d{13}$", r"(?i)^RZ\d{2}-[\dA-Z-]+$"]
 LONGEST_LINE = 120
+BLOCK_TITLES = "model|color|price|image|picture|spec|remark|moq|fob|cny|rmb|usd"
 
 
 def spec_only(model: Column) -> Column:
@@ -211,3 +212,21 @@ def _families(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             yield out.filter(batch.column("_own"))
 
     return read
+
+
+def codes_above(rows: DataFrame, items: DataFrame, anchors: DataFrame, reach: float = 250.0, left: float = 0.35) -> DataFrame:
+    """(file, page, item, modelo, code): rows whose name is specifications only take the code of their block: the text of the lowest
+    item with a code above them (first extracted of one height), within ``reach`` and left of that share of the mean x of the
+    page's price anchors, unless the name holds its first word. code: what was taken, else null. Pages without anchors give no
+    codes. One ordered pass over a page."""
+    middle = _renamed(anchors.groupBy(*PAGE).agg(F.avg("x").alias("x")), "p")
+    coded = F.col("text").rlike(rf"(?i){CODE}") & ~F.trim("text").rlike(rf"(?i)^({BLOCK_TITLES})\b")
+    codes = items.where(coded & (F.col("x") >= 0) & F.col("y").isNotNull()).join(middle, _same_page("p")).where(F.col("x") <= F.col("p_x") * left)
+    given = codes.select(*PAGE, "y", F.lit(1).alias("kind"), (-F.col("item")).alias("turn"), F.struct("y", F.trim("text").alias("text")).alias("code"))
+    own = rows.select(*PAGE, "y", F.lit(0).alias("kind"), F.col("item").alias("turn"), F.lit(None).cast(given.schema["code"].dataType).alias("code"), "item", "modelo")
+    down = Window.partitionBy(*PAGE).orderBy("y", "kind", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = own.unionByName(given, allowMissingColumns=True).withColumn("code", F.last("code", ignorenulls=True).over(down)).where("kind = 0")
+    first = F.lower(F.element_at(F.split(F.col("code.text"), r"\s+"), 1))
+    takes = spec_only(F.col("modelo")) & (F.col("y") - F.col("code.y") <= reach) & ~F.contains(F.lower("modelo"), first)
+    taken = seen.withColumn("taken", F.when(takes, F.col("code.text")))
+    return taken.select(*PAGE, "item", F.coalesce("taken", "modelo").alias("modelo"), F.col("taken").alias("code"))
