@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams, features scaled by naive Bayes log-count ratios.
 
 Training takes a bounded sample of the labelled rows: SAMPLE rows of each label, those with the smallest hash of their
-id. Presence counts of hashed n-grams give the log-count ratios, all n-grams that differ significantly between the
-labels are kept, and a logistic regression is fitted on the ratios of the n-grams that a text holds. Its bias is moved from the sample's label shares to
+id. Presence counts of hashed n-grams are summed up block by block and give the log-count ratios; all n-grams that
+differ significantly between the labels are kept, and a logistic regression is fitted on the ratios of the n-grams that
+a text holds, in one task, since the sample is bounded. Only kept n-grams and their weights reach the driver. The bias is moved from the sample's label shares to
 those of all training rows, so that scores do not depend on how much was sampled. Scoring reads every whole text once.
 """
 
@@ -29,6 +30,8 @@ THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 SIGNIFICANT = 4.5
 #: Characters hashed at a time, and entries of a block of rows in the fit (it stays in the cache).
 _PIECE, _BLOCK = 1 << 20, 1 << 17
+#: Buckets whose counts are summed up together.
+_SUMMED = 1 << 14
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -55,19 +58,38 @@ def _present(text: str | None, wanted: np.ndarray | None = None) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each label that hold a bucket, for a partition."""
+    """Texts of each label that hold a bucket, for a partition: a row for each block of buckets that has any."""
     total = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
         for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
             total[label][_present(text.as_py())] += 1
     trim()
-    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
+    blocks = total.reshape(2, -1, _SUMMED)
+    full = [k for k in range(blocks.shape[1]) if blocks[:, k].any()]
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(blocks[:, k].tobytes(), 1) for k in full], pa.binary())], ["block", "counts"])
 
 
-def _picked(wanted):
+def _significant(n: dict[int, int]):
+    """The buckets of a block whose share of texts differs significantly between the labels, and their ratios."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), np.int32).reshape(2, -1).astype(np.int64) for x in group["counts"])
+        p, q = (total[1] + 1) / (n[1] + 2), (total[0] + 1) / (n[0] + 2)
+        ratio = np.log(p / q) - np.log((1 - p) / (1 - q))
+        share = total.sum(0) / (n[0] + n[1])
+        strength = np.abs(total[1] / n[1] - total[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
+        best = np.flatnonzero(strength >= SIGNIFICANT)
+        return pd.DataFrame({"block": [key[0]], "buckets": [(best + key[0] * _SUMMED).astype("<i4").tobytes()], "ratios": [ratio[best].astype("<f8").tobytes()]})
+
+    return run
+
+
+def _picked(kept):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(1 << BITS, bool)
+        wanted[kept.value[0]] = True
         for batch in batches:
-            rows = [_present(t.as_py(), wanted.value) for t in batch.column(0)]
+            rows = [_present(t.as_py(), wanted) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.astype("<i4").tobytes() for r in rows], pa.binary())], ["toxic", "buckets"])
 
     return run
@@ -98,6 +120,21 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int =
     return w * ratio, float(b)
 
 
+def _fitted(kept):
+    """Weights of the kept buckets and the bias, from all rows of the sample; their order does not count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, ratio = kept.value
+        rows = sorted(row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        if rows:
+            w, b = _fit([np.searchsorted(best, np.frombuffer(x, "<i4")).astype(np.int32) for _, x in rows], np.array([y for y, _ in rows], float), ratio)
+            yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary()), pa.array([b])], ["weights", "bias"])
+        del rows
+        trim()
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """Weights by bucket (a table of 2^BITS floats) and bias, from labelled rows outside the held-out fold.
 
@@ -111,30 +148,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     one, other = (known.where(F.col("toxic") == k).orderBy("h", "id").limit(SAMPLE) for k in (0, 1))
     picked = one.unionByName(other).select("id", "toxic")  # at most 2 * SAMPLE rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("text", "toxic").repartition(16)
-    total = np.zeros((2, 1 << BITS), np.int32)
     texts = texts.persist()
-    for row in texts.mapInArrow(_counts, "counts binary").collect():  # one table for each of 16 tasks
-        total += np.frombuffer(zlib.decompress(row["counts"]), np.int32).reshape(2, -1)
     n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(n) < 2:
         share = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
         texts.unpersist()
         return {"weights": np.zeros(1 << BITS, np.float32), "bias": float(np.log(share / (1 - share)))}
-    p, q = (total[1] + 1) / (n[1] + 2), (total[0] + 1) / (n[0] + 2)
-    ratio = np.log(p / q) - np.log((1 - p) / (1 - q))
-    share = total.sum(0) / (n[0] + n[1])
-    strength = np.abs(total[1] / n[1] - total[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
-    best = np.flatnonzero(strength >= SIGNIFICANT)
-    wanted = np.zeros(1 << BITS, bool)
-    wanted[best] = True
-    rows = texts.mapInArrow(_picked(spark.sparkContext.broadcast(wanted)), "toxic int, buckets binary").collect()
+    counts = texts.mapInArrow(_counts, "block int, counts binary").groupBy("block")
+    blocks = sorted(counts.applyInPandas(_significant(n), "block int, buckets binary, ratios binary").collect())
+    best, ratio = (np.frombuffer(b"".join(r[k] for r in blocks), kind) for k, kind in (("buckets", "<i4"), ("ratios", "<f8")))
+    kept = spark.sparkContext.broadcast((best, ratio))
+    rows = texts.mapInArrow(_picked(kept), "toxic int, buckets binary").repartition(1)  # the sample, 2 * SAMPLE rows at most
+    fitted = rows.mapInArrow(_fitted(kept), "weights binary, bias double").first()
     texts.unpersist()
-    rows.sort(key=lambda r: (r["toxic"], r["buckets"]))  # the fit does not depend on the order of tasks
+    kept.destroy()
     prior = float(np.log(rows_of[1] / rows_of[0]) - np.log(min(SAMPLE, rows_of[1]) / min(SAMPLE, rows_of[0])))  # 0 where all rows are taken
-    w, b = _fit([np.searchsorted(best, np.frombuffer(r["buckets"], "<i4")).astype(np.int32) for r in rows], np.array([r["toxic"] for r in rows], float), ratio[best])
     weights = np.zeros(1 << BITS, np.float32)
-    weights[best] = w
-    return {"weights": weights, "bias": b + prior}
+    weights[best] = np.frombuffer(fitted["weights"], "<f4")
+    return {"weights": weights, "bias": fitted["bias"] + prior}
 
 
 def fold(id_col: str):
@@ -145,12 +176,14 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", into: str = "_to
     """docs with a column ``into``: the score of each row's whole text, between 0 and 1. Null and empty texts: the
     score of a text without n-grams that count. Column names of docs may be anything but ``into``."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = np.flatnonzero(model["weights"]).astype(np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast((kept, model["weights"][kept], model["bias"]))
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         trim()
-        weights, bias = shared.value["weights"], shared.value["bias"]
+        (kept, values, bias), weights = shared.value, np.zeros(1 << BITS, np.float32)
+        weights[kept] = values
         wanted = weights != 0
         for part in texts:
             z = np.array([weights[_present(t, wanted)].sum(dtype=np.float64) for t in part]) + bias
