@@ -54,3 +54,10 @@ def test_texts_of_a_box(spark, pairs):
     kept = {x["anchor"]: x["n"] for x in spatial.cell_texts(t.where("item % 5 = 0"), apart).collect()}
     loop = {a[0]: sum(_beside(a, b) and b[0] % 5 != 0 and abs(b[3] - a[3]) <= 70 and -60 <= b[4] - a[4] <= 15 for b in rows) for a in rows if a[0] % 5 == 0}
     assert kept == {k: n for k, n in loop.items() if n}
+
+
+def test_siblings_of_a_line(spark, pairs):
+    rows = _rows()
+    want = {a[0]: sum(b[0] != a[0] and None not in (a[1], b[1], a[4], b[4]) and a[1:3] == b[1:3] and abs(b[4] - a[4]) <= 30 for b in rows) for a in rows}
+    assert {x["item"]: x["n"] for x in spatial.siblings(spark.createDataFrame(rows, ITEMS)).collect()} == want
+    _few(pairs)
