@@ -61,3 +61,14 @@ def test_siblings_of_a_line(spark, pairs):
     want = {a[0]: sum(b[0] != a[0] and None not in (a[1], b[1], a[4], b[4]) and a[1:3] == b[1:3] and abs(b[4] - a[4]) <= 30 for b in rows) for a in rows}
     assert {x["item"]: x["n"] for x in spatial.siblings(spark.createDataFrame(rows, ITEMS)).collect()} == want
     _few(pairs)
+
+
+def test_nearest_extracted_item(spark, pairs):
+    rows = _rows()
+    want = {}
+    for a in rows:
+        near = [(abs(b[3] - a[3]) + abs(b[4] - a[4]), b[0]) for b in rows if b[0] % 2 == 0 and _beside(a, b) and abs(b[3] - a[3]) <= 60 and abs(b[4] - a[4]) <= 60]
+        want[a[0]] = min(near)[::-1] if near else (None, None)
+    t = spark.createDataFrame(rows, ITEMS)
+    assert {x["item"]: (x["match"], x["distance"]) for x in spatial.matched_truth(t, t.where("item % 2 = 0")).collect()} == want
+    _few(pairs)
