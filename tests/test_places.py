@@ -72,3 +72,15 @@ def test_nearest_extracted_item(spark, pairs):
     t = spark.createDataFrame(rows, ITEMS)
     assert {x["item"]: (x["match"], x["distance"]) for x in spatial.matched_truth(t, t.where("item % 2 = 0")).collect()} == want
     _few(pairs)
+
+
+def test_nearest_anchor_of_a_price(spark, pairs):
+    rows = _rows()
+    want = {}
+    for a in rows:
+        near = [(abs(b[4] - a[4]) + abs(b[3] - a[3]), b[0]) for b in rows if b[6] is not None and _beside(a, b) and abs(b[3] - a[3]) <= 40 and abs(b[4] - a[4]) <= 30 and abs(a[5] - b[6]) < 0.01]
+        if a[6] is None:
+            want[a[0]] = (*min(near)[::-1], True) if near else (None, None, False)
+    t = spark.createDataFrame(rows, ITEMS)
+    assert {x["item"]: tuple(x)[1:] for x in spatial.grounded(t.where("price IS NULL"), t.where("price IS NOT NULL")).collect()} == want
+    _few([n / 3 for n in pairs])  # prices are part of a place
