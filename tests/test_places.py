@@ -84,3 +84,22 @@ def test_nearest_anchor_of_a_price(spark, pairs):
     t = spark.createDataFrame(rows, ITEMS)
     assert {x["item"]: tuple(x)[1:] for x in spatial.grounded(t.where("price IS NULL"), t.where("price IS NOT NULL")).collect()} == want
     _few([n / 3 for n in pairs])  # prices are part of a place
+
+
+def test_bounds_of_cells(spark, pairs):
+    rows = _rows()
+    want = {}
+    for a in rows:
+        band = [b for b in rows if _beside(a, b) and abs(b[4] - a[4]) <= 30]
+        if not band:
+            continue
+        own = (a[3], a[4], a[0])
+        before = max((b[3] for b in band if (b[3], b[4], b[0]) < own), default=None)
+        after = min((b[3] for b in band if (b[3], b[4], b[0]) > own), default=None)
+        xs = [b[3] for b in band]
+        above = max((b[4] for b in rows if _beside(a, b) and b[4] < a[4] - 10), default=None)
+        left = (before + a[3]) / 2 if before is not None else max(0.0, a[3] - ((after - a[3]) / 2 if len(band) > 1 else 140))
+        right = (after + a[3]) / 2 if after is not None else a[3] + ((max(xs) - min(xs)) / (len(band) - 1) / 2 if len(band) > 1 else 140)
+        want[a[0]] = (left, right, a[4] - (160 if above is None else min(240.0, max(40.0, a[4] - above))) + 5, a[4] + 12)
+    assert {x["item"]: tuple(x)[1:] for x in spatial.cell_bounds(spark.createDataFrame(rows, ITEMS)).collect()} == want
+    _few(pairs)
