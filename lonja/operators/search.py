@@ -66,16 +66,27 @@ def classified(rows: DataFrame, id_col: str, text: Column, tariffs: DataFrame) -
     """(id_col, ncm, desc, duty, score, confidence, pending): the tariff row (line: a key in the table's order, ncm, desc, duty) whose
     description and code share most words with a text in the table's language; of equal ones that met by the text's first
     word, then the first line. Without LEAST_SCORE words and LEAST_SHARE of the text's words it is pending and has no code;
-    texts without any word of the table have score 0 and are not pending. Equal texts are searched once; null texts are empty."""
-    texts = rows.select(F.col(id_col), expanded(text).alias("text"))
+    texts without any word of the table have score 0 and are not pending. Equal texts are searched once, and of tariff rows that hold the
+    same of the texts' words only the first, which is before the others for every text; null texts are empty."""
+    given = rows.select(F.col(id_col), F.coalesce(text, F.lit("")).alias("given"))
+    texts = stored(given.select("given").distinct().select("given", expanded(F.col("given")).alias("text")), "texts")
     asked = texts.select("text").distinct().select(F.col("text").alias("query"), "text")
     index = inverted_index(tariffs.select("line", F.concat_ws(" ", F.coalesce("desc", F.lit("")), "ncm").alias("text")), "line", "text")
-    first = search(asked, index, 1, first_hit=True).join(tariffs.select(F.col("line").alias("id"), "ncm", "desc", "duty"), "id").withColumnRenamed("query", "text")
-    found = texts.join(first, "text", "left")
+    alike = stored(_first_alike(asked, index), "alike")
+    first = stored(search(asked, alike, 1, first_hit=True).select(F.col("query").alias("text"), "id", "score", "accepted"), "first")
+    first = first.join(tariffs.select(F.col("line").alias("id"), "ncm", "desc", "duty"), "id")
     n = F.size(tokens(F.col("text")))
     score = F.coalesce("score", F.lit(0))
     kept = [F.when(F.col("accepted"), F.col(c)).alias(c) for c in ("ncm", "desc", "duty")]
-    return found.select(id_col, *kept, score.alias("score"), F.least(F.lit(1.0), score / F.greatest(F.lit(2), n)).alias("confidence"), (F.col("accepted").isNotNull() & ~F.col("accepted")).alias("pending"))
+    found = texts.join(first, "text", "left").select("given", *kept, score.alias("score"), F.least(F.lit(1.0), score / F.greatest(F.lit(2), n)).alias("confidence"), (F.col("accepted").isNotNull() & ~F.col("accepted")).alias("pending"))
+    return given.join(stored(found, "found"), "given").drop("given")
+
+
+def _first_alike(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """The index of the smallest id among rows that share their tokens, tokens that no query has left out: others never win one hit."""
+    asked = queries.select(F.explode(tokens(F.col("text"))).alias("token")).distinct()
+    alike = index.join(asked, "token", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    return alike.groupBy("tokens").agg(F.min("id").alias("id")).select(F.explode("tokens").alias("token"), "id")
 
 
 def vocabulary(rows: DataFrame, text_col: str, least: int = 3) -> DataFrame:
