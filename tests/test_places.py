@@ -103,3 +103,14 @@ def test_bounds_of_cells(spark, pairs):
         want[a[0]] = (left, right, a[4] - (160 if above is None else min(240.0, max(40.0, a[4] - above))) + 5, a[4] + 12)
     assert {x["item"]: tuple(x)[1:] for x in spatial.cell_bounds(spark.createDataFrame(rows, ITEMS)).collect()} == want
     _few(pairs)
+
+
+def test_images_near_products(spark, pairs, monkeypatch):
+    rows = _rows()
+    want = sorted((a[0], b[0], round(((b[3] - a[3]) ** 2 + (b[4] - a[4]) ** 2) ** 0.5, 2)) for a in rows for b in rows if a[0] % 3 == 0 and b[0] % 7 == 0 and _beside(a, b) and abs(b[3] - a[3]) <= 200 and -100 <= b[4] - a[4] <= 250)
+    t = spark.createDataFrame(rows, ITEMS)
+    found = spatial.image_candidates(t.where("item % 3 = 0"), t.where("item % 7 = 0"))
+    assert sorted(map(tuple, found.collect())) == want
+    _few(pairs)
+    monkeypatch.setattr(spatial, "ALIKE", 1)
+    assert sorted(map(tuple, spatial.image_candidates(t.where("item % 3 = 0"), t.where("item % 7 = 0")).collect())) == want
