@@ -106,7 +106,7 @@ def test_bounds_of_cells(spark, pairs):
 
 
 def test_images_near_products(spark, pairs, monkeypatch):
-    rows = _rows()
+    rows = _rows(900)
     want = sorted((a[0], b[0], round(((b[3] - a[3]) ** 2 + (b[4] - a[4]) ** 2) ** 0.5, 2)) for a in rows for b in rows if a[0] % 3 == 0 and b[0] % 7 == 0 and _beside(a, b) and abs(b[3] - a[3]) <= 200 and -100 <= b[4] - a[4] <= 250)
     t = spark.createDataFrame(rows, ITEMS)
     found = spatial.image_candidates(t.where("item % 3 = 0"), t.where("item % 7 = 0"))
